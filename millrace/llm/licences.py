@@ -100,13 +100,13 @@ def scan(docs: DataFrame, text: str, known: Mapping[str, str] = SENTENCES, rules
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     found = F.array_compact(F.transform(sentences(F.col(f"`{text}`")), lambda s: F.try_element_at(table, s)))
     ids = F.when(F.col(f"`{text}`").rlike(f"(?i)({trigger})"), found).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumns({"sentence_ids": ids}).withColumn("__left", F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda i: F.concat(i, F.lit("|"))), "")))
+    out = docs.withColumns({"sentence_ids": ids}).withColumn("__left", F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     hits = []
     for k, (name, sequence) in enumerate(rules):
-        pattern = "|" + "|".join(sequence) + "|"
-        out = out.withColumns({f"__hit{k}": F.when(F.contains("__left", F.lit(pattern)), F.lit(name)), "__left": F.replace("__left", F.lit(pattern), F.lit("|"))})
+        pattern = "".join(f"<{i}>" for i in sequence)
+        out = out.withColumns({f"__hit{k}": F.when(F.contains("__left", F.lit(pattern)), F.lit(name)), "__left": F.replace("__left", F.lit(pattern), F.lit("."))})
         hits.append(f"__hit{k}")
-    left = F.size(F.filter(F.split("__left", r"\|"), lambda x: x != ""))
+    left = F.length("__left") - F.length(F.replace("__left", F.lit("<"), F.lit("")))
     out = out.withColumns({"licences": F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ","), "n_unmatched": left.cast("bigint")})
     return out.drop("__left", *hits)
 
@@ -118,10 +118,10 @@ def scan_sql(source: str, key: str, text: str, known: Mapping[str, str] = SENTEN
         f"WITH s AS (SELECT {key}, regexp_replace(regexp_replace(coalesce({text}, ''), '([.!?;:])\\s', '\\1' || chr(1), 'g'), '\\n(\\s*[A-Z][a-z])', chr(1) || '\\1', 'g') AS t FROM {source})",
         f"p AS (SELECT {key}, list_transform(string_split(regexp_replace(lower(t), '[^a-z0-9' || chr(1) || ']+', ' ', 'g'), chr(1)), lambda x: trim(x)) AS parts FROM s)",
         f"i AS (SELECT {key}, list_filter(list_transform(parts, lambda x: {table}[x]), lambda x: x IS NOT NULL) AS ids FROM p)",
-        f"r0 AS (SELECT {key}, ids, '|' || list_aggregate(list_transform(ids, lambda x: x || '|'), 'string_agg', '') AS rest, CAST([] AS VARCHAR[]) AS hits FROM i WHERE len(ids) > 0 UNION ALL SELECT {key}, ids, '|', CAST([] AS VARCHAR[]) FROM i WHERE len(ids) = 0)",
+        f"r0 AS (SELECT {key}, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest, CAST([] AS VARCHAR[]) AS hits FROM i)",
     ]
     for k, (name, sequence) in enumerate(rules):
-        pattern = "|" + "|".join(sequence) + "|"
-        lines.append(f"r{k + 1} AS (SELECT {key}, ids, replace(rest, '{pattern}', '|') AS rest, CASE WHEN contains(rest, '{pattern}') AND NOT list_contains(hits, '{name}') THEN list_append(hits, '{name}') ELSE hits END AS hits FROM r{k})")
-    end = f"SELECT {key}, coalesce(array_to_string(ids, ' '), '') AS sentences, coalesce(array_to_string(hits, ','), '') AS licences, CAST(len(list_filter(string_split(rest, '|'), lambda x: x <> '')) AS BIGINT) AS n_unmatched FROM r{len(rules)}"
+        pattern = "".join(f"<{i}>" for i in sequence)
+        lines.append(f"r{k + 1} AS (SELECT {key}, ids, replace(rest, '{pattern}', '.') AS rest, CASE WHEN contains(rest, '{pattern}') AND NOT list_contains(hits, '{name}') THEN list_append(hits, '{name}') ELSE hits END AS hits FROM r{k})")
+    end = f"SELECT {key}, coalesce(array_to_string(ids, ' '), '') AS sentences, coalesce(array_to_string(hits, ','), '') AS licences, CAST(length(rest) - length(replace(rest, '<', '')) AS BIGINT) AS n_unmatched FROM r{len(rules)}"
     return ", ".join(lines) + " " + end
