@@ -47,10 +47,14 @@ def repeated_words(words: Column, width: int = 8) -> Column:
 def _covered(width: int) -> Callable[[Column], Column]:
     def f(h: Column) -> Column:
         order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        total = F.element_at(F.transform(F.array(order), count), 1)
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(total)
+
+    # What a lambda names but doesn't bind is evaluated anew for every element, so the sorted array is bound first.
+    def count(order: Column) -> Column:
         hit = F.transform(order, lambda x, k: F.when(F.coalesce(x["h"] == F.get(order, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(order, k + 1)["h"], F.lit(False)), x["i"]))
         at = F.array_sort(F.array_compact(hit))
-        total = F.aggregate(at, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")), lambda s, x: F.struct((s["sum"] + x + width - F.greatest(x, s["end"])).alias("sum"), (x + width).alias("end")), lambda s: s["sum"])
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(total)
+        return F.aggregate(at, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")), lambda s, x: F.struct((s["sum"] + x + width - F.greatest(x, s["end"])).alias("sum"), (x + width).alias("end")), lambda s: s["sum"])
 
     return f
 
