@@ -14,43 +14,54 @@ SAMPLE_ROWS = 1_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once: what a lambda names but doesn't bind is evaluated at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words_of(text: Column) -> Column:
     """Runs of characters other than ASCII white space; none for null."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, _SPACE))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
+
+
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("bigint")
+
+
+def symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint")
 
 
 def duplicate_lines(text: Column) -> Column:
     r"""\n-split lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    return _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
 
 def repeated_words(words: Column, width: int = 8) -> Column:
     """Words inside windows of ``width`` words that the text has twice or more, the first included.
 
-    Windows are compared by 64-bit hashes within their text.  Only a text with
-    two equal ones sorts them; then each window that has an equal neighbour
-    covers the words up to its end that none before it did.
+    Windows are compared by 64-bit hashes within their text, made by doubling:
+    a run's hash is that of the hashes of two shorter runs that cover it.  Only
+    a text with two equal ones sorts them; then each window that has an equal
+    neighbour covers the words up to its end that none before it did.
     """
-    n = F.size(words)
-    codes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def of(codes: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(codes, i, width)))
-        return F.element_at(F.transform(F.array(windows), _covered(width)), 1)
+    def windows(h: Column, size: int) -> Column:
+        if size == width:
+            return _bound(F.slice(h, 1, F.size(h) - (width - 1)), _covered(width))
+        step = min(size, width - size)
+        return _bound(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))), lambda g: windows(g, size + step))
 
-    inside = F.element_at(F.transform(F.array(codes), of), 1)
-    return F.when(n < width + 1, F.lit(0)).otherwise(inside).cast("bigint")
+    inside = _bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: windows(h, 1))
+    return F.when(F.size(words) < width + 1, F.lit(0)).otherwise(inside).cast("bigint")
 
 
 def _covered(width: int) -> Callable[[Column], Column]:
     def f(h: Column) -> Column:
         order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        total = F.element_at(F.transform(F.array(order), count), 1)
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(total)
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_bound(order, count))
 
-    # What a lambda names but doesn't bind is evaluated anew for every element, so the sorted array is bound first.
     def count(order: Column) -> Column:
         hit = F.transform(order, lambda x, k: F.when(F.coalesce(x["h"] == F.get(order, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(order, k + 1)["h"], F.lit(False)), x["i"]))
         at = F.array_sort(F.array_compact(hit))
@@ -63,13 +74,12 @@ def measured(docs: DataFrame, text: str) -> DataFrame:
     """Add word_chars, n_words, n_symbols, n_dup_lines and n_repeat_words (all bigint), computed within the row."""
     taken = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__words")
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
-    plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = base.withColumn("__words", words_of(F.col(f"`{text}`")))
     return base.withColumns(
         {
             "n_words": F.size("__words").cast("bigint"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("bigint"),
-            "n_symbols": (F.length(plain) - F.length(F.translate(plain, "#*$%&|<>", ""))).cast("bigint"),
+            "word_chars": word_chars(F.col("__words")),
+            "n_symbols": symbols(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
             "n_dup_lines": duplicate_lines(F.col(f"`{text}`")),
             "n_repeat_words": repeated_words(F.col("__words")),
         }
@@ -78,31 +88,23 @@ def measured(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(text column)`` is true for a text that must go; null counts as false."""
+    """``rejects`` gets a column with the fields ``text`` and ``words``; true means that the text must go, null counts as false."""
 
     name: str
     rejects: Callable[[Column], Column]
 
 
-def _per_word(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
-def _n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-
-
-def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+def _parts(text: Column) -> Column:
+    return F.struct(F.coalesce(text, F.lit("")).alias("text"), words_of(text).alias("words"))
 
 
 #: The base rules, and rules for text that is no prose.  Thresholds leave prose of any of the languages alone.
 RULES = (
-    Rule("too_few_words", lambda t: _n_words(t) < 20),
-    Rule("repeated_windows", lambda t: repeated_words(words_of(t)) * 100 > _n_words(t) * 30),
-    Rule("symbols", lambda t: _per_word(t, r"[#*$%&|<>]") * 5 > _n_words(t)),
-    Rule("duplicate_lines", lambda t: duplicate_lines(t) * 10 > F.size(F.split(t, "\n")) * 5),
-    Rule("word_length", lambda t: (_word_chars(t) < _n_words(t) * 2) | (_word_chars(t) > _n_words(t) * 20)),
+    Rule("too_few_words", lambda d: F.size(d["words"]) < 20),
+    Rule("repeated_windows", lambda d: repeated_words(d["words"]) * 100 > F.size(d["words"]) * 30),
+    Rule("symbols", lambda d: symbols(d["text"]) * 5 > F.size(d["words"])),
+    Rule("duplicate_lines", lambda d: duplicate_lines(d["text"]) * 10 > F.size(F.split(d["text"], "\n")) * 5),
+    Rule("word_length", lambda d: _bound(word_chars(d["words"]), lambda n: (n < F.size(d["words"]) * 2) | (n > F.size(d["words"]) * 20))),
 )
 #: What is left to the method where the base rules are decided already.
 EXTRA = tuple(r for r in RULES if r.name not in ("too_few_words", "repeated_windows"))
@@ -112,15 +114,16 @@ def ordered(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_ro
     """The rules by rejected share per second, from a sample of at most ``sample_rows`` rows.
 
     Each rule runs alone over the sample; a rule that rejects none goes last,
-    the cheapest of them first.
+    the cheapest of them first.  Splitting into words, which rules share, isn't
+    counted.
     """
-    sample = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).limit(sample_rows).persist()
+    sample = docs.select(F.col(f"`{text}`").alias("t")).limit(sample_rows).select(_parts(F.col("t")).alias("d")).persist()
     try:
         n = max(1, sample.count())
         stats = {}
         for r in rules:
             began = time.perf_counter()
-            rejected = sample.agg(F.count_if(r.rejects(F.col("t")))).first()[0]
+            rejected = sample.agg(F.count_if(r.rejects(F.col("d")))).first()[0]
             stats[r.name] = ((rejected / n) / (seconds := max(1e-6, time.perf_counter() - began)), -seconds)
         return sorted(rules, key=lambda r: stats[r.name], reverse=True)
     finally:
@@ -128,12 +131,15 @@ def ordered(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_ro
 
 
 def verdict(text: Column, rules: Sequence[Rule]) -> Column:
-    """False as soon as a rule rejects: later rules aren't evaluated."""
-    plain = F.coalesce(text, F.lit(""))
-    out = None
-    for r in rules:
-        out = F.when(F.coalesce(r.rejects(plain), F.lit(False)), False) if out is None else out.when(F.coalesce(r.rejects(plain), F.lit(False)), False)
-    return F.lit(True) if out is None else out.otherwise(True)
+    """False as soon as a rule rejects: later rules aren't evaluated.  A text is split into words once for all rules."""
+
+    def of(d: Column) -> Column:
+        out = F
+        for r in rules:
+            out = out.when(F.coalesce(r.rejects(d), F.lit(False)), False)
+        return out.otherwise(True) if rules else F.lit(True)
+
+    return _bound(_parts(text), of)
 
 
 def keep_good(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
