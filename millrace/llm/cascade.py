@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that orders the rules; the order changes the cost, never a verdict.
-SAMPLE_ROWS = 1_000
+#: Rows of the sample that orders the rules, and characters that a text in it may have, so that the driver
+#: can hold it; the order changes the cost, never a verdict.
+SAMPLE_ROWS, SAMPLE_CHARS = 1_000, 1 << 15
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -111,13 +112,15 @@ EXTRA = tuple(r for r in RULES if r.name not in ("too_few_words", "repeated_wind
 
 
 def ordered(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second, from a sample of at most ``sample_rows`` rows.
+    """The rules by rejected share per second, from a sample of at most ``sample_rows`` texts that aren't very long.
 
     Each rule runs alone over the sample; a rule that rejects none goes last,
     the cheapest of them first.  Splitting into words, which rules share, isn't
     counted.
     """
-    sample = docs.select(F.col(f"`{text}`").alias("t")).limit(sample_rows).select(_parts(F.col("t")).alias("d")).persist()
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
+    # A limit inside a plan would take as many rows from every partition; the driver's stops at the first partitions.
+    sample = docs.sparkSession.createDataFrame(texts.limit(sample_rows).collect(), "t string").select(_parts(F.col("t")).alias("d")).persist()
     try:
         n = max(1, sample.count())
         stats = {}
