@@ -127,7 +127,7 @@ def table_rows(fps: DataFrame, scheme: Scheme) -> DataFrame:
     return fps.select(F.inline(F.array(*cells)), "id", *scheme.words)
 
 
-def ball_pairs(at: np.ndarray, bits: int, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ball_pairs(at: np.ndarray, bits: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions of a sorted array whose values are equal or differ in one of the low ``bits``, in blocks."""
     n = len(at)
     for flip in [0, *[1 << k for k in range(bits)]]:
