@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a batch that are turned into Python values at once; a row of more is taken alone.
+SLICE = 4 << 20
+
+
+def row_slices(b: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes, so that Python objects of a few megabytes live at a time."""
+    rows = max(1, b.num_rows * most // max(1, b.nbytes))
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def add_columns(df: DataFrame, inputs: Sequence[Column], fields: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
     """``df`` with columns computed from Arrow arrays.
 
     ``start()`` is called once per task and returns a function of the input
-    arrays of a batch that returns one array per new field.  A column of ``df``
+    arrays of a part of a batch that returns one array per new field.  A column of ``df``
     with a new field's name is replaced.
     """
     new = T.StructType.fromDDL(fields)
@@ -28,8 +39,8 @@ def add_columns(df: DataFrame, inputs: Sequence[Column], fields: str, start: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in row_slices(whole):
                 cols = b.columns
                 yield pa.RecordBatch.from_arrays([*cols[:width], *f(*cols[width:])], names=schema.names)
 
