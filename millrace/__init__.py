@@ -24,6 +24,7 @@ from millrace.operators.combine import (
     AggregationSpec,
     combine,
     combine_final,
+    combine_final_ordered,
     combine_partial,
     combine_partial_bounded,
     multi_aggregate,
@@ -48,6 +49,7 @@ __all__ = [
     "build_session",
     "combine",
     "combine_final",
+    "combine_final_ordered",
     "combine_partial",
     "combine_partial_bounded",
     "count_rows",

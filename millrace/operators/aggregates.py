@@ -39,8 +39,8 @@ def total(column: str, name: str) -> Aggregate:
 
 
 def count_rows(name: str = "count") -> Aggregate:
-    """Rows, null ones too."""
-    return _simple(name, F.count(F.lit(1)), F.sum)
+    """Rows, null ones too; none merged from no partials are 0."""
+    return Aggregate({name: F.count(F.lit(1))}, {name: F.sum}, {name: F.coalesce(F.col(name), F.lit(0))})
 
 
 def minimum(column: str, name: str) -> Aggregate:
@@ -56,7 +56,7 @@ def average(column: str, sum_name: str = "sum", count_name: str = "count", name:
     return Aggregate(
         {sum_name: F.sum(column), count_name: F.count(column)},
         {sum_name: F.sum, count_name: F.sum},
-        {sum_name: F.col(sum_name), count_name: F.col(count_name), name: F.when(F.col(count_name) > 0, F.col(sum_name).cast("double") / F.col(count_name))},
+        {sum_name: F.col(sum_name), count_name: F.coalesce(F.col(count_name), F.lit(0)), name: F.when(F.col(count_name) > 0, F.col(sum_name).cast("double") / F.col(count_name))},
     )
 
 

@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.hashing import name_id
 from millrace.operators.aggregates import Aggregate
@@ -118,23 +119,18 @@ def combine_partial_bounded(
     if memory_limit and size_of is None:
         raise ValueError("a memory limit needs size_of")
     keys, fields = list(group_by), list(inputs)
-    result = T.StructType.fromDDL(output)
-    schema = T.StructType([df.schema[k] for k in keys] + list(result))
-    names = schema.names
+    schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(output)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[tuple, Any] = OrderedDict()
         sizes: dict[tuple, int] = {}
-        held = 0
-        for frame in frames:
-            out: list[tuple] = []
-            clean = frame.astype(object).where(frame.notna(), None)
-            for key, values in zip(clean[keys].itertuples(index=False, name=None), clean[fields].itertuples(index=False, name=None), strict=True):
-                state = update(cache.pop(key) if key in cache else zero(), values)
-                held -= sizes.pop(key, 0)
-                if evict_when is not None and evict_when(state):
-                    out.append(key + emit(state))
-                    continue
+        held, out = 0, []
+        for key, values, last in _keyed_rows(batches, len(keys)):
+            state = update(cache.pop(key) if key in cache else zero(), values)
+            held -= sizes.pop(key, 0)
+            if evict_when is not None and evict_when(state):
+                out.append(key + emit(state))
+            else:
                 cache[key] = state
                 if memory_limit:
                     sizes[key] = size_of(key, state)
@@ -145,12 +141,80 @@ def combine_partial_bounded(
                     old, state = cache.popitem(last=False)
                     held -= sizes.pop(old, 0)
                     out.append(old + emit(state))
-            if out:
-                yield pd.DataFrame(out, columns=names)
+            if last and out:
+                yield _batch(out, schema)
+                out = []
         if cache:
-            yield pd.DataFrame([k + emit(s) for k, s in cache.items()], columns=names)
+            yield _batch([k + emit(s) for k, s in cache.items()], schema)
 
-    return df.select(*dict.fromkeys([*keys, *fields])).mapInPandas(run, schema)
+    return _positional(df, keys, fields).mapInArrow(run, schema)
+
+
+def _positional(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Keys, then fields, by place: a column may be both."""
+    return df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(fields)])
+
+
+#: One NaN for all, which is found in a dict by identity.
+_NAN = float("nan")
+
+
+def _keyed_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, tuple, bool]]:
+    """(key, values, whether the row ends a batch) of rows whose first ``width`` columns are the key."""
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for i in range(b.num_rows):
+            key = tuple(_NAN if c[i] != c[i] else c[i] for c in columns[:width])
+            yield key, tuple(c[i] for c in columns[width:]), i == b.num_rows - 1
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
+def combine_final_ordered(
+    partials: DataFrame | Sequence[DataFrame],
+    group_by: Sequence[str],
+    inputs: Sequence[str],
+    zero: Callable[[], Any],
+    merge: Callable[[Any, tuple], Any],
+    emit: Callable[[Any], tuple],
+    output: str,
+    order_by: Sequence[str | Column] = (),
+) -> DataFrame:
+    """Merge partial rows of a key by user code, in the order of ``order_by`` within the key.
+
+    Rows are dealt by key and sorted within their partition, so a task holds
+    one state at a time however many rows a key has.  Without a group all rows
+    are merged in one task: give it partials, as :func:`combine_partial_bounded`
+    makes them.  No rows give no result, with or without a group.  Merges that
+    are expressions belong in :func:`combine_final`.
+    """
+    df, keys = stack(partials), list(group_by)
+    schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(output)))
+    dealt = df.repartition(*[F.col(f"`{k}`") for k in keys]) if keys else df.repartition(1)
+    by = [*[F.col(f"`{k}`") for k in keys], *order_by]
+    ordered = dealt.sortWithinPartitions(*by) if by else dealt
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple | None = None
+        state: Any = None
+        out: list[tuple] = []
+        for key, values, last in _keyed_rows(batches, len(keys)):
+            if key != current:
+                if current is not None:
+                    out.append(current + emit(state))
+                current, state = key, zero()
+            state = merge(state, values)
+            if last and out:
+                yield _batch(out, schema)
+                out = []
+        if current is not None:
+            yield _batch([current + emit(state)], schema)
+
+    return _positional(ordered, keys, list(inputs)).mapInArrow(run, schema)
 
 
 def _check_specs(specs: Sequence[AggregationSpec]) -> None:

@@ -15,7 +15,7 @@ from millrace.functions.hashing import name_id
 from millrace.operators import aggregates as A
 from millrace.operators.bloom import BloomSettings
 from millrace.operators.cogroup import multi_group, multi_group_apply
-from millrace.operators.combine import SPEC_ID, AggregationSpec, combine, combine_final, combine_partial, combine_partial_bounded, multi_aggregate, multi_aggregate_tails
+from millrace.operators.combine import SPEC_ID, AggregationSpec, combine, combine_final, combine_final_ordered, combine_partial, combine_partial_bounded, multi_aggregate, multi_aggregate_tails
 from millrace.operators.joins import key_join, limit_join, semi_filter
 from millrace.operators.metrics import Counters
 from millrace.operators.rows import append_nulls, batch_map, emit_wide, key_hash, remove_where, rename_in_place
@@ -227,6 +227,18 @@ def combine_partial_bounded_then_final(spark: SparkSession, d: str) -> DataFrame
     return combine_final(partial, ["l_suppkey"], [A.total("total", "total")])
 
 
+@query(
+    "combine_final_ordered",
+    "SELECT user_id, CAST(count_if(event_type <> before) AS BIGINT) AS changes, count(*) AS n FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1",
+)
+def combine_final_ordered_query(spark: SparkSession, d: str) -> DataFrame:
+    def merge(state: tuple, row: tuple) -> tuple:
+        changes, n, before = state
+        return changes + (n > 0 and row[0] != before), n + 1, row[0]
+
+    return combine_final_ordered(table(spark, d, "events"), ["user_id"], ["event_type"], lambda: (0, 0, None), merge, lambda s: s[:2], "changes bigint, n bigint", order_by=["ts", "event_id"])
+
+
 def _specs() -> list[AggregationSpec]:
     return [
         AggregationSpec("by_flag", ["l_returnflag"], [A.total("l_quantity", "quantity"), A.count_rows("n")]),

@@ -11,7 +11,11 @@ from millrace import (
     batch_map,
     build_bloom,
     combine,
+    combine_final,
+    combine_final_ordered,
+    combine_partial,
     combine_partial_bounded,
+    count_rows,
     key_join,
     limit_join,
     might_contain,
@@ -121,6 +125,24 @@ def test_bounded_partials(spark):
         bounded(df, item_limit=1, strict=True).collect()
 
 
+def test_bounded_partials_keep_types(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, 1.5, big), (1, float("nan"), None), (1, float("nan"), big), (None, 1.5, big)], "key bigint, x double, value bigint").coalesce(1)
+    got = combine_partial_bounded(df, ["key", "x"], ["value", "key"], list, lambda s, r: [*s, r[0]], lambda s: (len(s), s[-1]), "n int, last bigint").collect()
+    assert sorted((r["key"] or 0, r["n"], r["last"]) for r in got) == [(0, 2, big), (1, 2, big)]
+
+
+def test_ordered_merge(spark):
+    data = [("b", 3, "z"), ("a", 2, "y"), ("a", 1, "x"), (None, 5, "n"), ("b", 1, None), ("a", 3, "w"), (None, 4, "m")]
+    df = spark.createDataFrame(data, "key string, place int, value string").repartition(3)
+    join = {"inputs": ["value"], "zero": str, "merge": lambda s, r: s + (r[0] or "-"), "emit": lambda s: (s,), "output": "joined string", "order_by": ["place"]}
+    assert set(rows(combine_final_ordered(df, ["key"], **join))) == {("a", "xyw"), ("b", "-z"), (None, "mn")}
+    assert rows(combine_final_ordered([df, df.limit(0)], [], **join | {"order_by": ["place", "value"]})) == [("-xywzmn",)]
+    assert combine_final_ordered(df.limit(0), ["key"], **join).count() == 0
+    counts = [count_rows("n"), average("place", "total", "m", "mean")]
+    assert rows(combine_final(combine_partial(df.limit(0), [], counts), [], counts)) == [(0, None, 0, None)]
+
+
 def test_multi_aggregate(spark):
     data = [("A", "D1", "day1")] * 3 + [("A", "D1", "day2"), ("A", "D2", "day2"), ("A", "D2", "day2"), ("A", "D2", "day1"), ("B", "D1", "day1"), ("B", "D1", "day2"), ("B", "D1", "day2"), ("C", "D2", "day2")]
     df = spark.createDataFrame([(*r, 1) for r in data], "partner string, destination string, date string, requests int")
