@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.arrow import byte_values, column, whole_groups
+from millrace.llm.arrow import byte_values, column, row_slices, whole_groups
 from millrace.llm.store import materialized
 
 #: Bytes of text whose anchors are found at once.
@@ -101,7 +101,7 @@ def occurrences(texts: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         hashed = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in (part for whole in batches for part in row_slices(whole)):
             t1, t2 = b.column(0), b.column(1)
             values = byte_values(b.column(2))
             i = 0
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, text: str, length: int = 400, most: int = AN
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in row_slices(whole)):
             kept, removed = [], []
             for value, hits in zip(byte_values(b.column(width)), b.column(width + 1).to_pylist(), strict=True):
                 own = _removal(len(value), hits)
