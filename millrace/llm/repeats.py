@@ -26,7 +26,7 @@ CHUNK = 1 << 17
 #: Symbols of one index, unless a single anchor has more; below 2**16 ranks sort as 16-bit integers.
 INDEX = 60_000
 #: Distinct contexts of one anchor that are indexed together; more are compared string by string, by hash.
-ANCHOR_CONTEXTS = 4_000
+ANCHOR_CONTEXTS = 1_000
 
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
