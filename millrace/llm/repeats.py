@@ -280,7 +280,8 @@ def repeated_contexts(found: DataFrame, texts: DataFrame, length: int, most: int
     distinct = materialized(distinct, "contexts")
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     wanted = distinct.join(per_anchor, "anchor").select("anchor", "c1", "c2", "n", "kinds", F.col("one.t1").alias("t1"), F.col("one.t2").alias("t2"), F.col("one.start").alias("start"), F.col("one.size").alias("size"))
-    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "n", "kinds", "start", "size")).alias("cells"))
+    # Written for the same reason as the spans below: AQE splits only joins whose two sides come from their own shuffles.
+    wanted = materialized(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "n", "kinds", "start", "size")).alias("cells")), "wanted")
     cut = F.transform("cells", lambda c: F.struct(c["anchor"].alias("anchor"), c["c1"].alias("c1"), c["c2"].alias("c2"), c["n"].alias("n"), c["kinds"].alias("kinds"), F.substring("raw", (c["start"] + 1).cast("int"), c["size"].cast("int")).alias("context")))
     bodies = texts.join(wanted, ["t1", "t2"]).select(F.col("text").cast("binary").alias("raw"), "cells").select(F.inline(cut)).dropDuplicates(["anchor", "c1", "c2"])
     bodies = materialized(bodies, "bodies")
