@@ -16,6 +16,9 @@ from millrace.llm.store import materialized
 
 #: Rows of a table key that one task compares at once; a larger key is split into blocks, pair by pair.
 KEY_ROWS = 20_000
+#: Rows of a candidate component that one task compares by their shingles; a larger one is dealt to blocks, as
+#: many as the square root of its rows over ``BLOCK_ROOT``, or as bytes of shingle hashes over ``BLOCK_BYTES``.
+GROUP_ROWS, BLOCK_ROOT, BLOCK_BYTES = 200, 5, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,10 @@ class Scheme:
     the segments cover all bits and ``radius < 2 * segments``, that finds every
     pair; for larger radii it finds a pair with the chance that one of its
     segments is that close.
+
+    With a ``similarity``, fingerprints are of distinct shingles, pairs within
+    the radius are only candidates, and those link whose sets of shingles have
+    that Jaccard similarity or more.
     """
 
     shingle: int = 5
@@ -36,6 +43,7 @@ class Scheme:
     segments: int = 2
     segment_bits: int = 32
     seed: int = 42
+    similarity: float | None = None
 
     def __post_init__(self) -> None:
         if self.bits % 64 or self.segments * self.segment_bits > self.bits or self.segment_bits % 2 or 64 % self.segment_bits:
@@ -45,11 +53,16 @@ class Scheme:
     def words(self) -> list[str]:
         return [f"f{i}" for i in range(self.bits // 64)]
 
+    @property
+    def node(self) -> list[str]:
+        """The columns that make texts one node: what is compared of them is equal."""
+        return self.words if self.similarity is None else [*self.words, "shingles"]
+
 
 #: Near copies of 0.8 similarity or more on five-word shingles.  At a Jaccard similarity of 0.8 vectors of
-#: shingles are about 0.476 radians apart, so 0.1515 of 512 bits (78 of them) differ, give or take 8; 90 leaves
-#: room for that.  Texts that share nothing differ in 256 bits, give or take 11.
-NEAR_COPIES = Scheme(shingle=5, bits=512, radius=90, segments=16, segment_bits=16)
+#: shingles are about 0.476 radians apart, so 0.1515 of 512 bits (78 of them) differ, give or take 8; 104 leaves
+#: room for nearly all.  What else is as near, as are some texts that are 0.65 alike, the shingle sets rule out.
+NEAR_COPIES = Scheme(shingle=5, bits=512, radius=104, segments=16, segment_bits=16, similarity=0.8)
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -92,19 +105,28 @@ def majority(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
-    """Add the fingerprint as ``bigint`` columns f0, f1, ...; null, empty and wordless texts get all zeros."""
+    """Add the fingerprint as ``bigint`` columns f0, f1, ...; null, empty and wordless texts get all zeros.
+
+    For a scheme with a similarity, ``shingles`` is added too, a hash of the set of shingles.
+    """
+    named = scheme.node
 
     def start() -> Callable[..., list]:
+        import xxhash
+
         def run(texts: pa.Array) -> list:
-            out = np.zeros((len(texts), len(scheme.words)), np.uint64)
+            out = np.zeros((len(texts), len(named)), np.uint64)
             for i, t in enumerate(byte_values(texts)):
                 if t and len(h := shingle_hashes(t, scheme.shingle, scheme.seed)):
-                    out[i] = majority(h, len(scheme.words))
+                    if scheme.similarity is not None:
+                        h = np.unique(h)
+                        out[i, -1] = xxhash.xxh64_intdigest(h.tobytes())
+                    out[i, : len(scheme.words)] = majority(h, len(scheme.words))
             return [pa.array(np.ascontiguousarray(out[:, w]).view(np.int64)) for w in range(out.shape[1])]
 
         return run
 
-    return add_columns(docs, [F.col(text)], ", ".join(f"{w} bigint" for w in scheme.words), start)
+    return add_columns(docs, [F.col(text)], ", ".join(f"{w} bigint" for w in named), start)
 
 
 def table_rows(fps: DataFrame, scheme: Scheme) -> DataFrame:
@@ -207,19 +229,108 @@ def links(fps: DataFrame, scheme: Scheme, cap: int = KEY_ROWS) -> DataFrame:
     return edges.unionByName(more.select("a", "b"))
 
 
+def alike(sets: list[np.ndarray], x: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect what all pairs do that are within the radius and whose sets are as similar.
+
+    ``sets`` has no empty ones, and no set has an element twice.  Breadth first:
+    each position is compared with all those that none before it reached, so
+    close copies cost little and every pair that could join two components is
+    compared.
+    """
+    sizes = np.array([len(h) for h in sets], np.int64)
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(kinds), bool)
+    left = np.arange(len(sets))
+    a, b, queue = [], [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        near = np.flatnonzero(np.bitwise_count(x[left] ^ x[i]).sum(1, dtype=np.int32) <= radius)
+        n, least, most = sizes[left[near]], np.minimum(sizes[left[near]], sizes[i]), np.maximum(sizes[left[near]], sizes[i])
+        near, n = near[least >= similarity * most], n[least >= similarity * most]
+        if not len(near):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        ends = np.cumsum(n)
+        at = np.repeat(starts[left[near]] - (ends - n), n) + np.arange(ends[-1])
+        common = np.add.reduceat(mark[flat[at]], ends - n, dtype=np.int64)
+        mark[own] = False
+        # An error of rounding mustn't lose a pair at the very limit.
+        linked = near[common >= similarity * (n + sizes[i] - common) - 1e-9]
+        found = left[linked]
+        a += [i] * len(found)
+        b += found.tolist()
+        queue += found.tolist()
+        left = np.delete(left, linked)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _sets(scheme: Scheme) -> Callable[[], Callable[..., list]]:
+    def start() -> Callable[..., list]:
+        def run(texts: pa.Array) -> list:
+            sets, fps = [], []
+            for t in byte_values(texts):
+                h = np.unique(shingle_hashes(t or b"", scheme.shingle, scheme.seed))
+                sets.append(h.tobytes())
+                fps.append(majority(h, len(scheme.words)).tobytes() if len(h) else b"")
+            return [pa.array(sets, pa.binary()), pa.array(fps, pa.binary())]
+
+        return run
+
+    return start
+
+
+def similar_links(docs: DataFrame, candidates: DataFrame, scheme: Scheme) -> DataFrame:
+    """Edges (a, b) that connect ids as all pairs of one candidate component do that are within the radius and as similar.
+
+    ``docs`` has (id, text), ``candidates`` (node, component).  A component is
+    compared in one task if it is small; the rows of a larger one are dealt to
+    blocks, and each pair of blocks is a task, so that no pair is lost.  Blocks
+    grow with the square root of the component, and shrink if its texts are long.
+    """
+    found = docs.join(candidates, F.col("id") == F.col("node")).select("id", "component", "text")
+    found = add_columns(found, [F.col("text")], "hashes binary, fp binary", _sets(scheme)).select("id", "component", "hashes", "fp")
+    found = materialized(found.filter(F.length("hashes") > 0), "sets")
+    blocks = F.greatest(F.ceil(F.sqrt(F.count(F.lit(1))) / BLOCK_ROOT), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int")
+    blocks = F.when(F.count(F.lit(1)) <= GROUP_ROWS, F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES).cast("int")).otherwise(blocks)
+    sizes = found.groupBy("component").agg(blocks.alias("blocks"))
+    dealt = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    route = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+    rows = dealt.select(route.alias("route"), "id", "hashes", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in whole_groups(batches, "route", 1 << 62, target=GROUP_ROWS):
+            route, ids = column(t, "route"), column(t, "id")
+            hashes, fps = t.column("hashes").to_pylist(), t.column("fp").to_pylist()
+            edges = np.r_[0, np.flatnonzero(route[1:] != route[:-1]) + 1, len(route)].tolist()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                x = np.frombuffer(b"".join(fps[lo:hi]), np.uint64).reshape(hi - lo, -1)
+                i, j = alike([np.frombuffer(h, np.uint64) for h in hashes[lo:hi]], x, scheme.radius, scheme.similarity)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i]), pa.array(ids[lo + j])], names=["a", "b"])
+
+    return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, key: str, text: str, scheme: Scheme, cap: int = KEY_ROWS) -> DataFrame:
     """(key, f0..., component): documents whose fingerprints link, directly or by others, share the smallest key.
 
     ``key`` must be integral.  Equal fingerprints are one node, so copies, however
-    many, cost nothing.  Rows with a null key get a component only from others.
-    No rows give no rows.
+    many, cost nothing; with a similarity, equal sets of shingles are one.  Rows
+    with a null key get a component only from others.  No rows give no rows.
     """
-    fps = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    fps = materialized(fingerprints(fps, "text", scheme).select("id", *scheme.words), "fingerprints")
-    nodes = fps.groupBy(*scheme.words).agg(F.min("id").alias("id"))
+    docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    fps = materialized(fingerprints(docs, "text", scheme).select("id", *scheme.node), "fingerprints")
+    nodes = fps.groupBy(*scheme.node).agg(F.min("id").alias("id"))
     labels = connected_components(links(nodes.filter("id IS NOT NULL"), scheme, cap))
-    named = nodes.join(labels, F.col("id") == F.col("node"), "left").select(*scheme.words, F.coalesce("component", "id").alias("component"))
-    return fps.join(named, scheme.words, "left").select(F.col("id").alias(key), *scheme.words, "component")
+    if scheme.similarity is not None:
+        labels = connected_components(similar_links(docs, labels, scheme))
+    named = nodes.join(labels, F.col("id") == F.col("node"), "left").select(*scheme.node, F.coalesce("component", "id").alias("component"))
+    return fps.join(named, scheme.node, "left").select(F.col("id").alias(key), *scheme.words, "component")
 
 
 def drop_near_copies(docs: DataFrame, key: str, text: str, scheme: Scheme = NEAR_COPIES) -> DataFrame:

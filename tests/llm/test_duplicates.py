@@ -105,6 +105,45 @@ def test_near_copies_go(spark):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 0.05 * originals
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("rows_in_task", [200, 20])
+def test_pages_of_one_template_stay(spark, monkeypatch, rows_in_task):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_in_task)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    template = [r.choice(words) for _ in range(250)]
+    pages = [" ".join([*template, *[r.choice(words) for _ in range(54)]]) for _ in range(120)]
+    # Copies with their last 20 words anew are about 0.87 alike.
+    edited = [" ".join([*p.split(" ")[:-20], *[r.choice(words) for _ in range(20)]]) for p in pages[:60]]
+    sets = [shingle_set(p) for p in pages]
+    assert max(len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]) < 0.8
+    assert all(len(a & b) / len(a | b) > 0.8 for a, b in zip(sets, map(shingle_set, edited), strict=False))
+    df = spark.createDataFrame(list(enumerate(pages + edited)), "doc_id long, text string").repartition(4)
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(df, "doc_id", "text").collect()}
+    assert set(range(120)) <= kept and len(kept) <= 122
+
+
+@pytest.mark.parametrize("radius", [512, 60])
+def test_alike(radius):
+    r = np.random.default_rng(3)
+    sets, base = [], r.integers(0, 1 << 63, 100, dtype=np.uint64)
+    for k in range(60):
+        n = int(r.integers(20, 120))
+        h = np.r_[base[: max(1, n - k % 7)], r.integers(0, 1 << 63, k % 7, dtype=np.uint64)]
+        sets.append(np.unique(h))
+    x = np.stack([simhash.majority(h, 8) for h in sets])
+    plain = [set(h.tolist()) for h in sets]
+    pairs = [(i, j) for i in range(60) for j in range(i) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]) and int(np.bitwise_count(x[i] ^ x[j]).sum()) <= radius]
+    a, b = simhash.alike(sets, x, radius, 0.8)
+    names = list(range(60))
+    assert smallest(60, list(zip(a.tolist(), b.tolist(), strict=True)), names) == smallest(60, pairs, names)
+    assert set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) <= set(pairs)
+
+
 def plain_removed(texts, length):
     at = {}
     raw = [(t or "").encode() for t in texts]
