@@ -23,13 +23,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur elsewhere too; bytes of a character that was cut are dropped.
+    """Texts without passages that occur elsewhere too, nor characters that such a passage cuts.
 
     Every document stays, one that was nothing but such passages with an empty text.
     """
-    cut = repeats.remove_repeats(docs, "text", PASSAGE_BYTES)
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(whole)
+    cut = repeats.remove_repeats(docs, "text", PASSAGE_BYTES, characters=True)
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
     return cut.select(*[text.alias("text") if c == "text" else F.length(text).cast("bigint").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

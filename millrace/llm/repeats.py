@@ -311,7 +311,7 @@ def text_names(text: str) -> list:
     return [F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.lit(7), F.col(text)).alias("t2")]
 
 
-def remove_repeats(docs: DataFrame, text: str, length: int = 400, most: int = ANCHOR_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str, length: int = 400, most: int = ANCHOR_CONTEXTS, characters: bool = False) -> DataFrame:
     """Add ``kept`` (binary) and ``removed``, without the bytes that strings of ``length`` cover which occur elsewhere too.
 
     Texts are UTF-8 bytes; null counts as empty.  A string occurs elsewhere if it
@@ -319,7 +319,8 @@ def remove_repeats(docs: DataFrame, text: str, length: int = 400, most: int = AN
     with ``length`` bytes or more nothing is kept.  Overlaps count, matches never
     cross texts, and all is judged on the input.  ``removed`` is an array of
     (start, end) structs in bytes, maximal and ascending.  Columns of these names
-    are replaced, all others and all rows stay.
+    are replaced, all others and all rows stay.  With ``characters``, spans are
+    extended to the ends of characters that they cut.
 
     Equal texts are indexed once, under their hash and with their number.
     """
@@ -341,6 +342,8 @@ def remove_repeats(docs: DataFrame, text: str, length: int = 400, most: int = AN
             kept, removed = [], []
             for value, hits in zip(byte_values(b.column(width)), b.column(width + 1).to_pylist(), strict=True):
                 own = _removal(len(value), hits)
+                if characters:
+                    own = _whole_characters(value, own)
                 removed.append([{"start": s, "end": e} for s, e in own])
                 if not own:
                     kept.append(value)
@@ -363,3 +366,29 @@ def _removal(size: int, hits: list[dict] | None) -> list[tuple[int, int]]:
             np.add.at(change, shifts + s, 1)
             np.add.at(change, shifts + e, -1)
     return [tuple(x) for x in spans_of(np.cumsum(change[:-1]) > 0).tolist()]
+
+
+def _whole_characters(value: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans with the rest of each character that an end of theirs cuts; those that then touch are one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        first = s
+        while first > 0 and s - first < 3 and value[first] & 0xC0 == 0x80:
+            first -= 1
+        # Continuation bytes after a shorter character, or after none, belong to no character that could be cut.
+        lead = value[first]
+        if first < s and s - first < (4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1):
+            s = first
+        most = min(len(value), e + 3)
+        last = e - 1
+        while last > 0 and e - last < 4 and value[last] & 0xC0 == 0x80:
+            last -= 1
+        lead = value[last]
+        whole = last + (4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1)
+        while e < min(whole, most) and value[e] & 0xC0 == 0x80:
+            e += 1
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out

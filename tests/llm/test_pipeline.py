@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from millrace.llm import repeats
 
 
 def test_stages(spark, tmp_path):
@@ -24,3 +25,24 @@ def test_stages(spark, tmp_path):
     assert all(passage not in t for t in steps[2].values()) and steps[2][5] == rows[5][1] and len(steps[2]) == len(steps[1])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {x["doc_id"] for x in packed.collect()} == set(steps[2])
+
+
+def test_cuts_leave_other_characters(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = prose(50)
+    # "é" and "è" share a first byte, "é" and "ĩ" a last one, so the common string begins and ends within them.
+    texts = [f"{prose(9)} \ufffd kept é{passage}é end \ufffd.", f"{prose(9)} ĩ{passage}è other"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    want = [texts[0].replace(f"é{passage}é", ""), texts[1].replace(f"ĩ{passage}è", "")]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
+def test_whole_characters():
+    value = "aé€😀b".encode()
+    assert repeats._whole_characters(value, [(2, 4)]) == [(1, 6)]
+    assert repeats._whole_characters(value, [(0, 2), (7, 8)]) == [(0, 3), (6, 10)]
+    assert repeats._whole_characters(value, [(1, 2), (5, 6)]) == [(1, 6)]
+    assert repeats._whole_characters(value, [(0, 1), (10, 11)]) == [(0, 1), (10, 11)]
+    assert repeats._whole_characters(b"a\x80\x80b", [(2, 3)]) == [(2, 3)]
