@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that orders the rules, and characters that a text in it may have, so that the driver
-#: can hold it; the order changes the cost, never a verdict.
-SAMPLE_ROWS, SAMPLE_CHARS = 1_000, 1 << 15
+from millrace.llm.store import materialized
+
+#: Rows of the sample that orders the rules, and bytes of its texts, both as expected; the order changes the cost,
+#: never a verdict.
+SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 32 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -111,16 +113,27 @@ RULES = (
 EXTRA = tuple(r for r in RULES if r.name not in ("too_few_words", "repeated_windows"))
 
 
+def drawn(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(t), about ``rows`` of the texts, drawn at random from all partitions without a shuffle; null is empty.
+
+    Texts of any length are as likely; if so many take more than ``most_bytes``,
+    fewer are drawn.  They are written where tasks read them, so none reaches
+    the driver.
+    """
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    share = min(1.0, rows / max(1, n), most_bytes / max(1, size))
+    return materialized(texts.sample(share, seed=42) if share < 1 else texts, "sample")
+
+
 def ordered(docs: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second, from a sample of at most ``sample_rows`` texts that aren't very long.
+    """The rules by rejected share per second, from a random sample of about ``sample_rows`` texts.
 
     Each rule runs alone over the sample; a rule that rejects none goes last,
     the cheapest of them first.  Splitting into words, which rules share, isn't
     counted.
     """
-    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
-    # A limit inside a plan would take as many rows from every partition; the driver's stops at the first partitions.
-    sample = docs.sparkSession.createDataFrame(texts.limit(sample_rows).collect(), "t string").select(_parts(F.col("t")).alias("d")).persist()
+    sample = drawn(docs, text, sample_rows).select(_parts(F.col("t")).alias("d")).persist()
     try:
         n = max(1, sample.count())
         stats = {}

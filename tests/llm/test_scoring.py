@@ -115,3 +115,13 @@ def test_measures(spark):
     assert cascade.keep_good(good, "text").count() == 1 and cascade.keep_good(good.limit(0), "text").count() == 0
     orders = {tuple(r.name for r in cascade.ordered(df, "text"))}
     assert all(sorted(o) == sorted(r.name for r in cascade.RULES) for o in orders)
+
+
+def test_sample_is_of_all_partitions(spark):
+    rows = spark.range(0, 8000, 1, 8).select("id", F.when(F.col("id") % 100 == 0, F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 9000)).otherwise(F.col("id").cast("string")).alias("text"))
+    got = [r["t"] for r in cascade.drawn(rows, "text", rows=1000).collect()]
+    assert 800 <= len(got) <= 1200 and len(set(got)) == len(got)
+    assert {int(t.split()[0]) // 1000 for t in got} == set(range(8))
+    assert sum(len(t) > 1 << 15 for t in got) >= 3
+    assert sum(map(len, (r["t"] for r in cascade.drawn(rows, "text", rows=1000, most_bytes=1 << 20).collect()))) < 1 << 22
+    assert cascade.drawn(rows, "text", rows=8000).count() == 8000
