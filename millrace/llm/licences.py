@@ -33,6 +33,8 @@ SENTENCES = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
     "either version 2 of the license or at your option any later version": "GplLater2",
     "either version 3 of the license or at your option any later version": "GplLater3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GplTermsLater2",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GplTermsLater3",
     "you should have received a copy of the gnu general public license along with this program": "GplCopy",
     "licensed under cc by 4 0": "CcBy4",
     "licensed under cc by sa 4 0": "CcBySa4",
@@ -40,6 +42,8 @@ SENTENCES = {
     "licensed under cc by nc sa 4 0": "CcByNcSa4",
     "this work is licensed under a creative commons attribution 4 0 international license": "CcBy4",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "IscGrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "Mpl2Ref",
     "all rights reserved": "AllRights",
 }
@@ -58,6 +62,8 @@ RULES = (
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("GPL-2.0-or-later", ("GplFree", "GplTerms", "GplLater2")),
     ("GPL-3.0-or-later", ("GplFree", "GplTerms", "GplLater3")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTermsLater2")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTermsLater3")),
     ("GPL-2.0-only", ("Gpl2Ref",)),
     ("GPL-3.0-only", ("Gpl3Ref",)),
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
@@ -70,19 +76,41 @@ RULES = (
 
 #: A word of this pattern is in every known sentence, so texts without one need no cutting.
 TRIGGER = "licens|permission|redistribut|warrant|software|rights|of the license|liable"
-_MARK = "\x01"
+_MARK, _SOFT = "\x01", "\x02"
+#: Parts between soft breaks that a known sentence may be joined from: a line of it is a part at most.
+PARTS = 8
 
 
 def sentences(text: Column) -> Column:
-    """A text's sentences, normalised to lower-case letters and digits with single spaces.
+    """A text's sentences, normalised to lower-case letters and digits with single spaces, each as its parts.
 
-    Sentences end at ``. ! ? ; :`` before white space, and before a line that
-    begins with a capitalised word; other line breaks are spaces.
+    Sentences end at ``. ! ? ; :`` before white space, and at a blank line before
+    a capitalised word.  Where only a line break stands before the capitalised
+    word, or a number follows ``v.``, the sentence may go on, so its parts are
+    kept apart; other line breaks are spaces.
     """
-    marked = F.regexp_replace(text, r"([.!?;:])\s", f"$1{_MARK}")
-    marked = F.regexp_replace(marked, r"\n(\s*[A-Z][a-z])", f"{_MARK}$1")
-    plain = F.regexp_replace(F.lower(marked), f"[^a-z0-9{_MARK}]+", " ")
-    return F.transform(F.split(plain, _MARK), lambda s: F.trim(s))
+    marked = F.regexp_replace(text, r"\b([vV])\.\s+(?=\d)", f"$1{_SOFT}")
+    marked = F.regexp_replace(marked, r"([.!?;:])\s", f"$1{_MARK}")
+    marked = F.regexp_replace(marked, r"\n([^\S\n]*\n\s*[A-Z][a-z])", f"{_MARK}$1")
+    marked = F.regexp_replace(marked, r"\n([^\S\n]*[A-Z][a-z])", f"{_SOFT}$1")
+    plain = F.regexp_replace(F.lower(marked), f"[^a-z0-9{_MARK}{_SOFT}]+", " ")
+    return F.transform(F.split(plain, _MARK), lambda s: F.array_remove(F.transform(F.split(s, _SOFT), lambda x: F.trim(x)), ""))
+
+
+def _known(parts: Column, table: Column) -> Column:
+    """The known sentences among a sentence's parts, alone or joined with those that follow; the longest comes first."""
+
+    def next_one(state: Column, i: Column) -> Column:
+        sizes = F.sequence(F.least(F.lit(PARTS), F.size(parts) - i), F.lit(1), F.lit(-1))
+        tried = F.transform(sizes, lambda n: F.struct(F.try_element_at(table, F.array_join(F.slice(parts, i + 1, n), " ")).alias("id"), (i + n).alias("end")))
+        hit = F.get(F.filter(tried, lambda h: h["id"].isNotNull()), F.lit(0))
+        taken = F.transform(F.array(hit), lambda h: F.when(h.isNull(), state).otherwise(F.struct(h["end"].alias("end"), F.concat(state["ids"], F.array(h["id"])).alias("ids"))))
+        return F.when(i < state["end"], state).otherwise(F.element_at(taken, 1))
+
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("ids"))
+    joined = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, next_one, lambda s: s["ids"])
+    alone = F.array_compact(F.array(F.try_element_at(table, F.get(parts, F.lit(0)))))
+    return F.when(F.size(parts) < 2, alone).otherwise(joined)
 
 
 def scan(docs: DataFrame, text: str, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, trigger: str = TRIGGER) -> DataFrame:
@@ -98,7 +126,7 @@ def scan(docs: DataFrame, text: str, known: Mapping[str, str] = SENTENCES, rules
     Everything is computed within a row, without a shuffle.
     """
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = F.array_compact(F.transform(sentences(F.col(f"`{text}`")), lambda s: F.try_element_at(table, s)))
+    found = F.flatten(F.transform(sentences(F.col(f"`{text}`")), lambda s: _known(s, table)))
     ids = F.when(F.col(f"`{text}`").rlike(f"(?i)({trigger})"), found).otherwise(F.array().cast("array<string>"))
     out = docs.withColumns({"sentence_ids": ids}).withColumn("__left", F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     hits = []

@@ -80,6 +80,36 @@ def test_licence_rules(spark):
     assert licences.scan(df.limit(0), "text").count() == 0
 
 
+BSD_2 = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+GPL = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+HEADERS = [
+    ("GPL-3.0-or-later", GPL.format(":", ",", 3)),
+    ("GPL-3.0-or-later", GPL.format(":", ";", 3)),
+    ("GPL-2.0-or-later", GPL.format(";", ";", 2)),
+    ("GPL-2.0-or-later", GPL.format(";", ",", 2)),
+    ("GPL-2.0-only", "This work is licensed under the\nGnu General Public License version 2."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License version 3."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the\nApache License, Version 2.0."),
+    ("Apache-2.0", "A title\nLicensed under the Apache License, Version 2.0"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files (the \"Software\"), to deal in the\nSoftware without restriction, including without limitation the rights to use,\ncopy, modify, merge, publish, distribute, sublicense, and/or sell copies of the\nSoftware, and to permit persons to whom the Software is furnished to do so,\nsubject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."),
+    ("MIT", "Released under the\nMIT License."),
+    ("BSD-2-Clause", BSD_2),
+    ("BSD-3-Clause", BSD_2 + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."),
+    ("CC-BY-4.0", "This work is licensed under a\nCreative Commons Attribution 4.0 International License."),
+    *[(f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA")],
+]
+
+
+def test_standard_headers(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HEADERS)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licences"], r["n_unmatched"]) for r in licences.scan(df, "text").collect()}
+    assert got == {i: (name, 0) for i, (name, _) in enumerate(HEADERS)}
+    assert {name for name, _ in HEADERS} == {name for name, _ in licences.RULES}
+
+
 def test_hosts(spark):
     pages = [(i, f"https://bad.spam.co.uk/en/{i}", 1, 1) for i in range(60)] + [(100 + i, f"http://Good{i % 3}.fine.org:80/x?y#z", 1, 0) for i in range(60)] + [(200, None, None, None), (201, "nothing", 0, 0), (202, "ftp://new.spam.co.uk", 0, 0), (203, "http://www.example.com/en/a", 0, 0), (204, "http://a.example.com/en/a", 0, 0), (205, "x://b.net/es/1", 0, 0), (206, "x://b.com?/en/", 1, 0)]
     df = spark.createDataFrame(pages, "page_id long, url string, labelled int, bad int").withColumn("host", F.lit(3))
