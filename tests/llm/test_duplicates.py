@@ -197,6 +197,20 @@ def test_run_length_index():
     assert index.runs < index.size
 
 
+def test_samples_mark_what_streamed_statistics_mark():
+    base = prose(60).encode()
+    texts = [base, base[20:90] + b"#" + base[:70], b"ab" * 60, base[5:80], b"", b"x" * 90]
+    index = repeats.RunLengthIndex(texts)
+    statistics = index.matching_statistics()
+    at = np.searchsorted(index.position, np.arange(index.size), "right") - 1
+    want = np.zeros(index.size, bool)
+    for p in np.flatnonzero(statistics >= 32).tolist():
+        other = index.before[at[p]] + p - index.position[at[p]]
+        for start in (p, other):
+            want[start : start + statistics[p]] = True
+    assert want.any() and np.array_equal(index.repeated(32), want)
+
+
 def plain_links(vectors, labels, cosine):
     n = len(vectors)
     unit = []
