@@ -1,14 +1,17 @@
 """Fast whole-text encoding with a ``tokenizers`` file: repeated words are encoded once.
 
 Texts are cut before spaces and newlines that follow a character which surely
-isn't white space.  No match of the byte-level pattern spans such a place, so
-the ids of the parts, put together, are the ids of the whole text.  Equal parts
-of a slice of texts are found by dictionary encoding; only parts that the
-worker hasn't met lately reach the library.
+isn't white space.  No match of the byte-level pattern spans such a place, nor
+does an added token like ``<|endoftext|>``, so the ids of the parts, put
+together, are the ids of the whole text.  Equal parts of a slice of texts are
+found by dictionary encoding; only parts that the worker hasn't met lately reach
+the library.  Added tokens are what the library makes of them; texts with one
+that holds white space or takes the white space after it are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -47,13 +50,23 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        splits = made.get("pre_tokenizer") or {}
+        if made.get("normalizer") or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+            raise ValueError(f"{path} isn't a plain byte-level tokenizer, whose texts can be cut")
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
         vocabulary = self._library.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        # A byte is one character of a token, but for added tokens, which are written as they are.
         self._length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self._length[i] = len(token)
+        self._uncut: list[bytes] = []
+        for i, token in self._library.get_added_tokens_decoder().items():
+            self._length[i] = len(token.content.encode())
+            if token.rstrip or any(c.isspace() for c in token.content):
+                self._uncut.append(token.content.encode())
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
@@ -70,6 +83,9 @@ class TextEncoder:
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
         if at[0] == at[-1]:
             return np.zeros(0, self.dtype), np.zeros(n + 1, np.int64)
+        if self._uncut and any(token in value for value in texts.to_pylist() for token in self._uncut):
+            each = [np.array(e.ids, self.dtype) for e in self._library.encode_batch_fast([v.decode() for v in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(each), np.r_[0, np.cumsum([len(e) for e in each])]
         data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
         at = at - at[0]
         parts, order = self._parts(data, at)

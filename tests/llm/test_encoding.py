@@ -17,7 +17,7 @@ from millrace.llm.store import fresh_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 FILE = public_tokenizers.path("byte_bpe_50k.json")
-ODD = [None, "", " ", "\n", "a", "é", "a  b \n c\u00a0 d\u3000 e", "don't I'll\n\nx  ", "<|endoftext|> a", "日本語 テスト\u2003 x", "x" * 3000, " " * 3000, "ab1" * 2000 + " \n" * 50, "à la\u0085 é  \t z", "the cat sat on the mat. " * 400]
+ODD = [None, "", " ", "\n", "a", "é", "a  b \n c\u00a0 d\u3000 e", "don't I'll\n\nx  ", "<|endoftext|> a", "abc <|endoftext|> def", "abc<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "glued<|endoftext|>words <|endoftext", "é <|endoftext|>\u00a0 <|endoftext|>", "<|endoftext|>", "日本語 テスト\u2003 x", "x" * 3000, " " * 3000, "ab1" * 2000 + " \n" * 50, "à la\u0085 é  \t z", "the cat sat on the mat. " * 400]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -67,6 +66,23 @@ def test_text_encoder(library):
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(9)] == [library(t) for t in texts[3:12]]
 
 
+def test_added_tokens_with_white_space(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(FILE)
+    t.add_tokens([AddedToken("<a b>"), AddedToken("<r>", rstrip=True), AddedToken("<l>", lstrip=True), AddedToken("<é>")])
+    t.save(str(tmp_path / "more.json"))
+    texts = ["the <a b> cat", "x <r>   y", "x   <l> y z", "a <é> b <é>", "plain words here", None, ""]
+    for some in (texts, texts[3:], texts[2:3]):
+        ids, at = TextEncoder.of(str(tmp_path / "more.json")).encode(pa.array(some))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(some))] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_minimal_perfect_hash():
     for n in (0, 1, 2, 1000, 30_000):
         h = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
