@@ -62,7 +62,9 @@ def op6_packing(spark: SparkSession, d: str) -> DataFrame:
 def op7_repeats(spark: SparkSession, d: str) -> DataFrame:
     cut = repeats.remove_repeats(_documents(spark, d), "text", length=400)
     size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
-    return cut.select("doc_id", (F.length("kept") + size).cast("bigint").alias("n_bytes"), size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = [(F.length("kept") + size).cast("bigint").alias("n_bytes"), size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    # What is left, as text: bytes of a character that a span cut become U+FFFD here, and only here.
+    return cut.select("doc_id", *digest, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op8_caps(spark: SparkSession, d: str) -> DataFrame:
