@@ -11,30 +11,55 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a local folder becomes it."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, as in tests, a local folder becomes it, but only if all
+    tasks run in this machine's one process; a cluster must name its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{label}"
-    _made.append(path)
-    return path
+    """A path that nothing has; what is written there goes when the driver ends, also after a failure."""
+    top = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, top)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    _made.append(top)
+    return f"{top}/{label}"
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """Written once as Parquet and read back: the lineage ends here, and a lost executor costs only its running tasks."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialized` that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            files, at = _file_system(df.sparkSession, path.rpartition("/")[0])
+            files.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process, once results that read them have been written."""
     for path in _made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        files, at = _file_system(spark, path)
+        files.delete(at, True)
     _made.clear()
