@@ -252,6 +252,39 @@ def test_near_vectors(spark, dim, cap):
     assert caps.near_vectors(df.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+@pytest.mark.parametrize("cap", [4000, 40])
+def test_many_near_vectors(spark, cap):
+    """12,000 vectors of 64 dimensions; a third lie at 0.98 to 1.0 of another, 300 round one point, most labels are one."""
+    r = np.random.default_rng(9)
+    n, dim = 12_000, 64
+    x = r.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at, of = r.permutation(n)[:4000], r.integers(0, n, 4000)
+    c = r.uniform(0.98, 1.0, 4000)[:, None]
+    aside = r.standard_normal((4000, dim))
+    aside -= (aside * x[of]).sum(1, keepdims=True) * x[of]
+    x[at] = c * x[of] + np.sqrt(1 - c * c) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    x[:300] = x[0] + 0.012 * r.standard_normal((300, dim))
+    x = np.float32(x * r.uniform(0.1, 9, (n, 1)))
+    label = np.where(r.random(n) < 0.7, 0, r.integers(1, 5, n))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(8)
+    got = {g["vec_id"]: g["n_links"] for g in caps.near_vectors(df, "vec_id", "embedding", "label", 0.98, cap=cap).collect()}
+    links = near.sum(1)
+    single = np.arange(n) >= 300
+    found = np.array([got[i] for i in range(n)])
+    recall = found[single].sum() / links[single].sum()
+    print("recall", recall, "of", links[single].sum() // 2, "pairs; in the large group", found[~single].sum() / links[~single].sum())
+    assert (found <= links).all() and recall >= 0.97 and found[~single].sum() >= 0.97 * links[~single].sum()
+
+
+def test_directions_follow_the_vectors():
+    assert caps.directions_for(0) == caps.FEWEST and caps.directions_for(1 << 22) == 1 << 18 and caps.directions_for((1 << 22) + 1) == 1 << 19
+    assert caps.directions_for(1 << 60) == caps.MOST
+
+
 def test_digest(spark):
     df = spark.createDataFrame([(1, "a" * 10)], "doc_id long, text string")
     assert repeats.remove_repeats(df, "text", 400).select(F.sha2("kept", 256)).first()[0] == hashlib.sha256(b"a" * 10).hexdigest()
