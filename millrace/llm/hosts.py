@@ -13,8 +13,9 @@ from millrace.llm.store import materialized
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Second-level labels under which names are registered in country domains.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-#: A host is blocked if its rate of bad pages is above this, by the posterior's lower bound of so many deviations.
-MOST_BAD, DEVIATIONS = 0.5, 1.645
+#: A host is blocked if, by the posterior's lower bound of so many deviations, the odds of a bad page of it are more
+#: than so many times the odds over all labelled pages.
+ODDS, DEVIATIONS = 1.5, 1.645
 #: Weight of the prior of one level, in pages, where the data don't say: least, most.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 
@@ -57,14 +58,21 @@ def _weight(children: DataFrame, n: str, k: str, mean: str) -> float:
     return MOST_WEIGHT if excess <= 1 / (1 + MOST_WEIGHT) else max(LEAST_WEIGHT, (1 - excess) / excess)
 
 
-def reputations(pages: DataFrame, most_bad: float = MOST_BAD, deviations: float = DEVIATIONS) -> DataFrame:
+def most_bad(overall: float, odds: float = ODDS) -> float:
+    """The rate of bad pages whose odds are ``odds`` times those of the overall rate; below one as long as that is."""
+    return odds * overall / (1.0 - overall + odds * overall)
+
+
+def reputations(pages: DataFrame, odds: float = ODDS, deviations: float = DEVIATIONS) -> DataFrame:
     """(host, n, bad, mean, bound, verdict) per host of (host, labelled, bad) rows.
 
     Bad pages of a suffix are drawn to the overall rate, a registered domain's to
     its suffix's and a host's to its domain's, by beta priors whose weight comes
     from how much each level's members differ.  ``bound`` is the lower bound of
-    the posterior bad rate; hosts beyond ``most_bad`` are blocked.  Hosts without
-    labels rest on their domain.
+    the posterior bad rate; hosts are blocked where it is beyond the rate that
+    :func:`most_bad` gives for all labelled pages, so the threshold follows the
+    labels.  Labels that don't differ by host block none.  Hosts without labels
+    rest on their domain.
     """
     domain, suffix = domain_parts(F.col("host"))
     hosts = pages.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("k"))
@@ -84,10 +92,10 @@ def reputations(pages: DataFrame, most_bad: float = MOST_BAD, deviations: float
     mean = (F.col("k") + w * F.col("dm")) / (F.col("n") + w)
     bound = F.col("mean") - deviations * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + w + 1))
     out = hosts.select("host", "n", F.col("k").alias("bad"), mean.alias("mean")).withColumn("bound", bound)
-    return out.withColumn("verdict", F.when(F.col("bound") > most_bad, "block").otherwise("allow"))
+    return out.withColumn("verdict", F.when(F.col("bound") > most_bad(overall, odds), "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, url: str, labelled: str, bad: str, rules: Sequence[tuple[str, str, str]] = RULES, most_bad: float = MOST_BAD, deviations: float = DEVIATIONS) -> DataFrame:
+def judge(pages: DataFrame, url: str, labelled: str, bad: str, rules: Sequence[tuple[str, str, str]] = RULES, odds: float = ODDS, deviations: float = DEVIATIONS) -> DataFrame:
     """Add host, path, rule and verdict (allow or block) to each page.
 
     ``labelled`` and ``bad`` are 0/1 columns: whether a page's outcome is known,
@@ -104,7 +112,7 @@ def judge(pages: DataFrame, url: str, labelled: str, bad: str, rules: Sequence[t
     host, path = url_parts(F.col(f"`{url}`"))
     base = pages.select(*[F.col(f"`{c}`") for c in names], host.alias("host"), path.alias("path"))
     known = base.select("host", F.coalesce(F.col(f"`{labelled}`"), F.lit(0)).cast("bigint").alias("labelled"), F.coalesce(F.col(f"`{bad}`"), F.lit(0)).cast("bigint").alias("bad"))
-    hosts = reputations(known, most_bad, deviations).select(F.col("host").alias("__host"), F.col("verdict").alias("__verdict"))
+    hosts = reputations(known, odds, deviations).select(F.col("host").alias("__host"), F.col("verdict").alias("__verdict"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     joined = base.join(hosts, F.col("host") == F.col("__host"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in names], "host", "path", rule.alias("rule"), F.coalesce(verdict, "__verdict").alias("verdict"))

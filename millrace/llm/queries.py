@@ -127,7 +127,7 @@ d2 AS (SELECT domain, suffix, (dk + w * sm) / (dn + w) AS dm FROM d1 CROSS JOIN
 h2 AS (SELECT h.*, dm FROM h JOIN d2 USING (domain, suffix)),
 wh AS (SELECT {{weight:n:k:dm}} AS w FROM h2 WHERE n > 0),
 h3 AS (SELECT host, n, w, (k + w * dm) / (n + w) AS mean FROM h2 CROSS JOIN wh),
-v AS (SELECT host, CASE WHEN mean - {hosts.DEVIATIONS} * sqrt(mean * (1 - mean) / (n + w + 1)) > {hosts.MOST_BAD} THEN 'block' ELSE 'allow' END AS judged FROM h3)
+v AS (SELECT host, CASE WHEN mean - {hosts.DEVIATIONS} * sqrt(mean * (1 - mean) / (n + w + 1)) > {hosts.ODDS} * m / (1 - m + {hosts.ODDS} * m) THEN 'block' ELSE 'allow' END AS judged FROM h3 CROSS JOIN o)
 SELECT page_id, host, path, CASE {{rules:name}} END AS rule, coalesce(CASE {{rules:verdict}} END, judged) AS verdict FROM b LEFT JOIN v USING (host)
 """
 
