@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from millrace.llm.arrow import byte_values, column, rebatched
 from millrace.llm.store import materialized
 
-#: Rounds of expectation maximisation over all training words, and the count that each piece has besides.
+#: Rounds of expectation maximisation over all training words at most, and the count that each piece has besides.
 ROUNDS, PRIOR = 4, 0.01
+#: Rounds end early when the training words' mean log likelihood rises by less than this.
+MOVED = 0.01
 #: Words that are scored together, and the longest that are scored in columns.
 ROWS, COLUMNS = 60_000, 48
 #: Most frequent words whose scores are broadcast, none longer than 64 bytes: 12 MB at most.
@@ -58,76 +60,85 @@ def piece_bytes(model_file: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class PieceTable:
-    """Finds pieces by a rolling 64-bit hash in an open table."""
+    """Finds pieces, and beginnings of pieces, by a rolling 64-bit hash in an open table."""
 
     def __init__(self, pieces: list[bytes]):
         self.longest = max(map(len, pieces))
-        self.shift = np.uint64(64 - 18 if len(pieces) < 1 << 17 else 64 - len(pieces).bit_length() - 2)
-        size = 1 << (64 - int(self.shift))
-        self.keys, self.ids = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.probes = 1
-        hashes = []
-        for p in pieces:
+        known: dict[int, int] = {}
+        for i, p in enumerate(pieces):
             h = 0
-            for byte in p:
+            for k, byte in enumerate(p, 1):
                 h = (h * int(_P) + byte + 1) & (2**64 - 1)
-            hashes.append(h)
-        if len(set(hashes)) < len(hashes):
-            raise ValueError("pieces collide")
-        for i, h in enumerate(hashes):
-            at, steps = ((h * int(_C)) & (2**64 - 1)) >> int(self.shift), 1
-            while self.ids[at] >= 0:
-                at, steps = (at + 1) & (size - 1), steps + 1
+                if k < len(p):
+                    known.setdefault(h, -2)
+            if known.get(h, -2) >= 0:
+                raise ValueError("pieces collide")
+            known[h] = i
+        self.shift = np.uint64(64 - (len(known) * 4).bit_length())
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ids = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        for h, i in known.items():
+            at = ((h * int(_C)) & (2**64 - 1)) >> int(self.shift)
+            while self.ids[at] != -1:
+                at = (at + 1) & (size - 1)
             self.keys[at], self.ids[at] = h, i
-            self.probes = max(self.probes, steps)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers, -1 where there is none."""
+        """Piece numbers, -2 for what only begins a piece, -1 for what doesn't."""
         at = ((h * _C) >> self.shift).astype(np.int64)
-        out = np.where(self.keys[at] == h, self.ids[at], -1)
-        for k in range(1, self.probes):
-            more = (at + k) & (len(self.keys) - 1)
-            out = np.where((out < 0) & (self.keys[more] == h), self.ids[more], out)
+        out = self.ids[at]
+        open_ = np.flatnonzero((self.keys[at] != h) & (out != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            out[open_] = self.ids[at[open_]]
+            open_ = open_[(self.keys[at[open_]] != h[open_]) & (out[open_] != -1)]
         return out
 
 
 def lattice(table: PieceTable, words: list[bytes], weights: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(natural log of each word's marginal probability, expected piece counts weighted by ``counts``).
 
-    ``weights`` has a log weight per piece.
+    ``weights`` has a log weight per piece.  Words of a length are taken
+    together; from each start only those go on whose letters so far begin a piece.
     """
-    log = np.r_[weights, -np.inf]
     out = np.zeros(len(words))
-    expected = np.zeros(len(log)) if counts is not None else None
+    expected = np.zeros(len(weights)) if counts is not None else None
     sizes = np.array([len(w) + 1 for w in words])
     for n in np.unique(sizes).tolist():
         own = np.flatnonzero(sizes == n)
         if n > COLUMNS:
             for i in own.tolist():
-                out[i] = _long(table, b" " + words[i], log, expected, counts[i] if counts is not None else 0)
+                out[i] = _long(table, b" " + words[i], weights, expected, counts[i] if counts is not None else 0)
             continue
         text = np.frombuffer(b"".join([b" " + words[i] for i in own]), np.uint8).reshape(len(own), n).T.astype(np.uint64) + np.uint64(1)
-        alpha = [np.full(len(own), -np.inf) for _ in range(n + 1)]
-        alpha[0] = np.zeros(len(own))
-        ids: dict[tuple[int, int], np.ndarray] = {}
+        alpha = np.full((n + 1, len(own)), -np.inf)
+        alpha[0] = 0.0
+        spans = []
         for s in range(n):
-            h = np.zeros(len(own), np.uint64)
+            row, h = np.arange(len(own)), np.zeros(len(own), np.uint64)
             for e in range(s + 1, min(n, s + table.longest) + 1):
-                h = h * _P + text[e - 1]
+                h = h * _P + text[e - 1, row]
                 found = table.find(h)
-                if (found >= 0).any():
-                    alpha[e] = np.logaddexp(alpha[e], alpha[s] + log[found])
+                goes_on = found != -1
+                if not goes_on.all():
+                    row, h, found = row[goes_on], h[goes_on], found[goes_on]
+                if not len(row):
+                    break
+                is_piece = found >= 0
+                at, piece = (row, found) if is_piece.all() else (row[is_piece], found[is_piece])
+                if len(at):
+                    alpha[e, at] = np.logaddexp(alpha[e, at], alpha[s, at] + weights[piece])
                     if expected is not None:
-                        ids[s, e] = found
+                        spans.append((s, e, at, piece))
         out[own] = alpha[n]
         if expected is not None:
-            beta = [np.full(len(own), -np.inf) for _ in range(n + 1)]
-            beta[n] = np.zeros(len(own))
-            for (s, e), found in sorted(ids.items(), reverse=True):
-                through = log[found] + beta[e]
-                beta[s] = np.logaddexp(beta[s], through)
-                expected += np.bincount(found.astype(np.int64) % len(log), np.exp(alpha[s] + through - alpha[n]) * counts[own], len(log))
-    return out, expected[:-1] if expected is not None else None
+            beta = np.full((n + 1, len(own)), -np.inf)
+            beta[n] = 0.0
+            for s, e, at, piece in reversed(spans):
+                through = weights[piece] + beta[e, at]
+                beta[s, at] = np.logaddexp(beta[s, at], through)
+                expected += np.bincount(piece, np.exp(alpha[s, at] + through - alpha[n, at]) * counts[own[at]], len(weights))
+    return out, expected
 
 
 def _long(table: PieceTable, word: bytes, log: np.ndarray, expected: np.ndarray | None, count: float) -> float:
@@ -207,7 +218,8 @@ def learn(words: DataFrame, model_file: str, texts: int, rounds: int = ROUNDS, p
 
     The first weights fall with a piece's rank by the vocabulary's own scores.
     Each round sums the expected counts of every distinct word; only these, one
-    per piece, reach the driver.
+    per piece, and the likelihood reach the driver.  Rounds end when the
+    likelihood stops moving.
     """
     pieces, scores = piece_bytes(model_file)
     rank = np.empty(len(pieces))
@@ -218,22 +230,31 @@ def learn(words: DataFrame, model_file: str, texts: int, rounds: int = ROUNDS, p
     train = words.filter("c > 0").select("word", "c")
     total, known = train.agg(F.sum("c"), F.count(F.lit(1))).first()
     end = (texts + 1.0) / (texts + 1.0 + (total or 0) * 3.0 + 1.0)
+    likelihood = -math.inf
     for _ in range(rounds if known else 0):
         shared = spark.sparkContext.broadcast(np.log(counts / counts.sum() * (1.0 - end)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = PieceTable(piece_bytes(model_file)[0])
-            out = np.zeros(len(shared.value))
+            out, reached = np.zeros(len(shared.value)), 0.0
             for t in rebatched(batches, ROWS):
-                out += lattice(table, t.column("word").to_pylist(), shared.value, column(t, "c").astype(float))[1]
+                c = column(t, "c").astype(float)
+                log, expected = lattice(table, t.column("word").to_pylist(), shared.value, c)
+                out += expected
+                reached += float(log @ c)
             at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[out[at], reached])], names=["piece", "n"])
 
         got = train.mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        counts = np.full(len(pieces), prior)
+        counts, before = np.full(len(pieces), prior), likelihood
         for r in got:
-            counts[r["piece"]] += r["n"]
+            if r["piece"] >= 0:
+                counts[r["piece"]] += r["n"]
+            else:
+                likelihood = r["n"] / total
         end = (texts + 1.0) / (texts + 1.0 + counts.sum())
+        if likelihood - before < MOVED:
+            break
     return np.r_[np.log(counts / counts.sum() * (1.0 - end)), math.log(end)]
 
 

@@ -40,6 +40,53 @@ def test_lattice_is_a_distribution_over_segmentations():
     assert np.isclose(sum(n * len(p) for n, p in zip(counts, pieces, strict=True)), sum(len(w) + 1 for w in words))
 
 
+def plain_model(texts, rounds):
+    """Log10 scores of all texts by a model of the training ones, (text, held out) pairs, with plain dictionaries."""
+    pieces, scores = lattice.piece_bytes(MODEL)
+    rank = {p: i for i, p in enumerate(pieces[k] for k in np.argsort(-scores, kind="stable"))}
+    weights = {p: 1.0 / (r + 10.0) for p, r in rank.items()}
+    train = [w for t, held in texts if not held for w in (t or "").encode().lower().split()]
+    ends = sum(not held for _, held in texts)
+
+    def scaled(counts, end):
+        total = sum(counts.values())
+        return {p: c / total * (1 - end) for p, c in counts.items()}
+
+    end = (ends + 1.0) / (ends + 1.0 + len(train) * 3.0 + 1.0)
+    weights = scaled(weights, end)
+    reached = -math.inf
+    for _ in range(rounds if train else 0):
+        counts = dict.fromkeys(pieces, lattice.PRIOR)
+        before, reached = reached, 0.0
+        for w in train:
+            s = b" " + w
+            ahead, behind = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+            cuts = [(a, b) for b in range(1, len(s) + 1) for a in range(b) if s[a:b] in weights]
+            for a, b in cuts:
+                ahead[b] += ahead[a] * weights[s[a:b]]
+            for a, b in sorted(cuts, reverse=True):
+                behind[a] += weights[s[a:b]] * behind[b]
+            for a, b in cuts:
+                counts[s[a:b]] += ahead[a] * weights[s[a:b]] * behind[b] / ahead[-1]
+            reached += math.log(ahead[-1]) / len(train)
+        end = (ends + 1.0) / (ends + 1.0 + sum(counts.values()))
+        weights = scaled(counts, end)
+        if reached - before < lattice.MOVED:
+            break
+    words = lambda t: (t or "").encode().lower().split()
+    return [sum(math.log10(plain_marginal(w, weights)) for w in words(t)) + math.log10(end) for t, _ in texts]
+
+
+@pytest.mark.parametrize("rounds", [4, 40])
+def test_scores_equal_a_plain_model(spark, rounds):
+    texts = ["the cat sat on the mat", "The mat, the hat; a bat", None, "catalogue of hats", "internationalisation été", "unseen zebra words", "the the the"]
+    held = [False, False, False, False, False, True, True]
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, h boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lattice.score(df, "text", F.col("h"), MODEL, rounds=rounds).collect()}
+    want = plain_model(list(zip(texts, held, strict=True)), rounds)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_scores(spark):
     texts = [None, "", "The cat sat", "the CAT sat on the mat\u00a0x", "zebra " * 3, "été Été", "a" * 5000] + [f"common words here {i % 7}" for i in range(40)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the"), (2, "The cat sat")]
@@ -124,6 +171,18 @@ def test_hosts(spark):
     assert hosts.judge(df.limit(0), "url", "labelled", "bad").count() == 0
 
 
+def test_threshold_follows_the_labels(spark):
+    """Both verdicts come from the labels where hosts differ, none is blocked where they don't, whatever the overall rate."""
+    for good, bad in ((0.05, 0.6), (0.6, 0.99)):
+        pages = [(f"http://h{h}.d{h % 5}.org/{i}", 1, int((i * 7 + h) % 100 < 100 * (bad if h == 3 else good))) for h in range(20) for i in range(200)]
+        df = spark.createDataFrame([(*p,) for p in pages], "url string, labelled int, bad int")
+        got = {r["host"]: r["verdict"] for r in hosts.judge(df, "url", "labelled", "bad").select("host", "verdict").distinct().collect()}
+        assert {h for h, v in got.items() if v == "block"} == {"h3.d3.org"}
+        even = df.withColumn("bad", (F.pmod(F.xxhash64("url"), F.lit(100)) < int(100 * good)).cast("int"))
+        assert hosts.judge(even, "url", "labelled", "bad").filter("verdict = 'block'").count() == 0
+    assert hosts.most_bad(0.5) == 0.6 and 0 < hosts.most_bad(0.01) < 0.015 and hosts.most_bad(0.99) < 1
+
+
 def plain_measures(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
     windows = {}
@@ -147,6 +206,40 @@ def test_measures(spark):
     assert all(sorted(o) == sorted(r.name for r in cascade.RULES) for o in orders)
 
 
+def test_rules_go_by_rejections_of_what_is_left():
+    rules = [cascade.Rule(n, None) for n in "abcd"]
+    seconds = {"a": 1.0, "b": 1.0, "c": 0.1, "d": 0.05}
+    # a rejects 10, b 9 of them and one more, c 2 others, d none.
+    assert [r.name for r in cascade.by_rejections(rules, seconds, {0: 50, 0b0011: 9, 0b0001: 1, 0b0010: 1, 0b0100: 2})] == ["c", "a", "b", "d"]
+    # Ties: the cheaper one, then the one that stands first.
+    assert [r.name for r in cascade.by_rejections(rules, seconds, {0: 5})] == ["d", "c", "a", "b"]
+    assert cascade.by_rejections([], {}, {}) == []
+
+
+def test_costs_are_of_rules(spark):
+    cheap = cascade.Rule("cheap", lambda d: F.size(d["words"]) < 3)
+    dear = cascade.Rule("dear", lambda d: cascade.repeated_words(d["words"]) > 10**9)
+    df = spark.range(400).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.xxhash64("id", i).cast("string"))).alias("text"))
+    seconds, sets = cascade.measured_rules(df, "text", [dear, cheap])
+    assert seconds["dear"] > 3 * seconds["cheap"] and sets == {0: 400}
+    assert [r.name for r in cascade.ordered(df, "text", [dear, cheap])] == ["cheap", "dear"]
+
+
+def test_long_and_repeated_texts(spark):
+    long = " ".join(f"word{i} is number {i * 7919}" for i in range(60_000))
+    again = "the same nine words stand here twice over now " * 2 + " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long), (1, long), (2, again), (2, again), (3, "Released under the MIT License. " + long), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rule": F.lit(1), "n_symbols": F.lit("x")})
+    for r in cascade.measured(df, "text").collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_measures(dict(rows)[r["doc_id"]]), r["doc_id"]
+    assert sorted(r["doc_id"] for r in cascade.keep_good(df, "text").collect()) == [1, 1, 3]
+    got = sorted((r["doc_id"], r["licences"]) for r in licences.scan(df, "text").collect())
+    assert got == [(1, ""), (1, ""), (2, ""), (2, ""), (3, "MIT"), (4, "")]
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 2_000_000, 1, 0), (2, "http://b.org/1", 1, 1), (2, "http://b.org/1", 1, 1)], "page_id long, url string, labelled int, bad int")
+    judged = sorted((r["page_id"], r["host"], len(r["path"])) for r in hosts.judge(pages, "url", "labelled", "bad").collect())
+    assert judged == [(1, "a.org", 2_000_001), (2, "b.org", 2), (2, "b.org", 2)]
+
+
 def test_sample_is_of_all_partitions(spark):
     rows = spark.range(0, 8000, 1, 8).select("id", F.when(F.col("id") % 100 == 0, F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 9000)).otherwise(F.col("id").cast("string")).alias("text"))
     got = [r["t"] for r in cascade.drawn(rows, "text", rows=1000).collect()]
