@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ class Scheme:
     """How texts become fingerprints, and which fingerprints link.
 
     Fingerprints have ``bits`` bits and link at ``radius`` or fewer differing
-    ones.  The first ``segments * segment_bits`` bits are cut into segments, and
-    pairs are looked up that agree in one of them but for one bit at most.  If
-    the segments cover all bits and ``radius < 2 * segments``, that finds every
-    pair; for larger radii it finds a pair with the chance that one of its
-    segments is that close.
+    ones.  They are cut into segments, and pairs are looked up that agree in one
+    of them but for one bit at most.  If the segments cover all bits and
+    ``radius < 2 * segments``, that finds every pair; for larger radii it finds a
+    pair with the chance that one of its segments is that close.  More segments
+    than the bits have room for are cut from further, random orders of the bits.
 
     With a ``similarity``, fingerprints are of distinct shingles, pairs within
     the radius are only candidates, and those link whose sets of shingles have
@@ -46,8 +47,8 @@ class Scheme:
     similarity: float | None = None
 
     def __post_init__(self) -> None:
-        if self.bits % 64 or self.segments * self.segment_bits > self.bits or self.segment_bits % 2 or 64 % self.segment_bits:
-            raise ValueError("bits must be a multiple of 64 that the segments fit in, and segments must divide 64")
+        if self.bits % 64 or not 2 <= self.segment_bits <= min(48, self.bits) or self.segment_bits % 2 or not 0 < self.segments < 1 << 14:
+            raise ValueError("bits must be a multiple of 64, and segments have an even number of them, 48 at most")
 
     @property
     def words(self) -> list[str]:
@@ -58,11 +59,60 @@ class Scheme:
         """The columns that make texts one node: what is compared of them is equal."""
         return self.words if self.similarity is None else [*self.words, "shingles"]
 
+    def places(self) -> list[np.ndarray]:
+        """The bits of each segment."""
+        r = np.random.default_rng(self.seed)
+        fit, order, out = self.bits // self.segment_bits, np.arange(self.bits), []
+        while len(out) < self.segments:
+            out += np.split(order[: fit * self.segment_bits], fit)
+            order = r.permutation(self.bits)
+        return out[: self.segments]
+
 
 #: Near copies of 0.8 similarity or more on five-word shingles.  At a Jaccard similarity of 0.8 vectors of
-#: shingles are about 0.476 radians apart, so 0.1515 of 512 bits (78 of them) differ, give or take 8; 104 leaves
+#: shingles are about 0.476 radians apart, so 0.1515 of 256 bits (39 of them) differ, give or take 6; 61 leaves
 #: room for nearly all.  What else is as near, as are some texts that are 0.65 alike, the shingle sets rule out.
-NEAR_COPIES = Scheme(shingle=5, bits=512, radius=104, segments=16, segment_bits=16, similarity=0.8)
+NEAR_COPIES = Scheme(shingle=5, bits=256, radius=61, segments=16, segment_bits=16, similarity=0.8)
+#: The share of pairs at the similarity itself that the segments should find, and unlike texts that a text may meet in
+#: them by chance, on average.
+RECALL, MEETINGS = 0.95, 1000
+
+
+def expected_recall(similarity: float, bits: int, segment_bits: int, segments: int) -> float:
+    """The share of pairs of such a Jaccard similarity of which some segment differs in one bit at most.
+
+    Over the binomial number of bits that differ in all; segments are taken as
+    drawn at random, each with its own order of the bits.
+    """
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    out = 0.0
+    for d in range(bits + 1):
+        chance = math.comb(bits, d) * differ**d * (1 - differ) ** (bits - d)
+        close = (math.comb(bits - d, segment_bits) + d * math.comb(bits - d, segment_bits - 1)) / math.comb(bits, segment_bits)
+        out += chance * (1 - (1 - close) ** segments)
+    return out
+
+
+def sized(scheme: Scheme, texts: int, recall: float = RECALL, meetings: int = MEETINGS) -> Scheme:
+    """The scheme with the shortest segments in which texts meet few others by chance, and as many as find ``recall`` of the pairs.
+
+    So the comparisons grow in proportion to the texts, and the table rows of one
+    text with about the fourth root of their number.
+    """
+    out = scheme
+    for bits in range(16, 50, 2):
+        segments = 1
+        while expected_recall(scheme.similarity, scheme.bits, bits, segments) < recall:
+            segments += max(1, segments // 20)
+        out = replace(scheme, segment_bits=bits, segments=segments)
+        if chance_meetings(out, texts) <= meetings:
+            break
+    return out
+
+
+def chance_meetings(scheme: Scheme, texts: int) -> float:
+    """How many unlike texts a text is compared with on average."""
+    return texts * scheme.segments * (scheme.segment_bits + 1) / 2.0**scheme.segment_bits
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -130,46 +180,64 @@ def fingerprints(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
 
 
 def table_rows(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Each fingerprint once per segment and half of it: (key, rest, id, f0...).
+    """Each fingerprint once per segment and half of it: (route, rest, id, f0...).
 
     Two segments that differ in one bit at most agree in one of their halves, so
     a table is keyed by (segment, half) and the balls of radius one are walked
     in the other half, where the key's rows are.
     """
     half = scheme.segment_bits // 2
-    mask = (1 << half) - 1
-    cells = []
-    for s in range(scheme.segments):
-        at = s * scheme.segment_bits
-        word = F.col(scheme.words[at // 64])
-        low = F.shiftrightunsigned(word, at % 64).bitwiseAND(F.lit(mask))
-        high = F.shiftrightunsigned(word, at % 64 + half).bitwiseAND(F.lit(mask))
-        cells.append(F.struct((low + F.lit((2 * s) << half)).alias("key"), high.alias("rest")))
-        cells.append(F.struct((high + F.lit((2 * s + 1) << half)).alias("key"), low.alias("rest")))
-    return fps.select(F.inline(F.array(*cells)), "id", *scheme.words)
+    mask = np.uint64((1 << half) - 1)
+    places = np.concatenate(scheme.places())
+    names = ["route", "rest", "id", *scheme.words]
+    rows = max(1, 40_000 // (2 * scheme.segments))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows)):
+            n = b.num_rows
+            x = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[1:]], 1)
+            bits = np.unpackbits(x.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, places].reshape(n, scheme.segments, -1)
+            value = np.zeros((n, scheme.segments, 8), np.uint8)
+            packed = np.packbits(bits, axis=2, bitorder="little")
+            value[:, :, : packed.shape[2]] = packed
+            value = value.view(np.uint64)[:, :, 0]
+            ends = np.stack([value & mask, value >> np.uint64(half)], 2)
+            table = np.arange(2 * scheme.segments, dtype=np.uint64).reshape(scheme.segments, 2) << np.uint64(half)
+            at = pa.array(np.repeat(np.arange(n), 2 * scheme.segments))
+            cols = [pa.array((ends + table).ravel().view(np.int64)), pa.array(np.ascontiguousarray(ends[:, :, ::-1]).ravel().view(np.int64)), *[c.take(at) for c in b.columns]]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return fps.select("id", *scheme.words).mapInArrow(run, "route bigint, rest bigint, id bigint, " + ", ".join(f"{w} bigint" for w in scheme.words))
 
 
 def ball_pairs(at: np.ndarray, bits: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions of a sorted array whose values are equal or differ in one of the low ``bits``, in blocks."""
     n = len(at)
+    edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+    values = at[edges[:-1]]
     for flip in [0, *[1 << k for k in range(bits)]]:
         if flip:
-            goal = at ^ np.uint64(flip)
-            lo, hi = np.searchsorted(at, goal, "left"), np.searchsorted(at, goal, "right")
-            counts = np.where(goal > at, hi - lo, 0)
+            # Each pair is met once, from the value without the bit.
+            low = np.flatnonzero(values & np.uint64(flip) == 0)
+            to = np.searchsorted(values, values[low] | np.uint64(flip))
+            met = to < len(values)
+            met[met] = values[to[met]] == values[low[met]] | np.uint64(flip)
+            low, to = low[met], to[met]
+            size = edges[low + 1] - edges[low]
+            rows = np.repeat(edges[low] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            lo, counts = np.repeat(edges[to], size), np.repeat(edges[to + 1] - edges[to], size)
         else:
-            lo = np.arange(1, n + 1)
-            counts = np.searchsorted(at, at, "right") - lo
+            rows = np.arange(n)
+            lo = rows + 1
+            counts = np.repeat(edges[1:], np.diff(edges)) - lo
+            some = counts > 0
+            rows, lo, counts = rows[some], lo[some], counts[some]
         ends = np.cumsum(counts)
         row = 0
-        while row < n and ends[-1] > (ends[row - 1] if row else 0):
-            done = int(ends[row - 1]) if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, done + block, "right")))
+        while row < len(rows):
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + block, "right")))
             c = counts[row:stop]
-            total = int(c.sum())
-            if total:
-                i = np.repeat(np.arange(row, stop), c)
-                yield i, lo[i] + np.arange(total) - np.repeat(np.cumsum(c) - c, c)
+            yield np.repeat(rows[row:stop], c), np.repeat(lo[row:stop] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
             row = stop
 
 
@@ -180,7 +248,7 @@ def _linker(scheme: Scheme, cap: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for large, t in whole_groups(batches, "route", cap):
             ids = column(t, "id")
             if large:
-                cols = [ids, ids, column(t, "key"), column(t, "rest"), *[column(t, w) for w in scheme.words]]
+                cols = [ids, ids, column(t, "route"), column(t, "rest"), *[column(t, w) for w in scheme.words]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
                 continue
             route = column(t, "route")
@@ -213,9 +281,8 @@ def links(fps: DataFrame, scheme: Scheme, cap: int = KEY_ROWS) -> DataFrame:
     by a task of its own, so that no pair is lost and no task holds more.
     """
     schema = "a bigint, b bigint, key bigint, rest bigint, " + ", ".join(f"{w} bigint" for w in scheme.words)
-    rows = table_rows(fps, scheme).select(F.col("key").alias("route"), "key", "rest", "id", *scheme.words)
     run = _linker(scheme, cap)
-    found = materialized(rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, schema), "links")
+    found = materialized(table_rows(fps, scheme).repartition("route").sortWithinPartitions("route").mapInArrow(run, schema), "links")
     edges = found.filter("key IS NULL").select("a", "b")
     large = found.filter("key IS NOT NULL").select("key", "rest", F.col("a").alias("id"), *scheme.words)
     if large.isEmpty():
@@ -224,7 +291,7 @@ def links(fps: DataFrame, scheme: Scheme, cap: int = KEY_ROWS) -> DataFrame:
     dealt = large.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     route = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    blocks = dealt.select(route.alias("route"), "key", "rest", "id", *scheme.words)
+    blocks = dealt.select(route.alias("route"), "rest", "id", *scheme.words)
     more = blocks.repartition("route").sortWithinPartitions("route").mapInArrow(_linker(scheme, 1 << 40), schema)
     return edges.unionByName(more.select("a", "b"))
 
@@ -316,6 +383,16 @@ def similar_links(docs: DataFrame, candidates: DataFrame, scheme: Scheme) -> Dat
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, "a bigint, b bigint")
 
 
+def _components(fps: DataFrame, scheme: Scheme, texts: DataFrame, cap: int) -> DataFrame:
+    """``fps`` (id, the node's columns, ...) with ``component``, the smallest id that links reach."""
+    nodes = fps.groupBy(*scheme.node).agg(F.min("id").alias("id"))
+    labels = connected_components(links(nodes.filter("id IS NOT NULL"), scheme, cap))
+    if scheme.similarity is not None:
+        labels = connected_components(similar_links(texts, labels, scheme))
+    named = nodes.join(labels, F.col("id") == F.col("node"), "left").select(*scheme.node, F.coalesce("component", "id").alias("component"))
+    return fps.join(named, scheme.node, "left")
+
+
 def groups(docs: DataFrame, key: str, text: str, scheme: Scheme, cap: int = KEY_ROWS) -> DataFrame:
     """(key, f0..., component): documents whose fingerprints link, directly or by others, share the smallest key.
 
@@ -323,20 +400,33 @@ def groups(docs: DataFrame, key: str, text: str, scheme: Scheme, cap: int = KEY_
     many, cost nothing; with a similarity, equal sets of shingles are one.  Rows
     with a null key get a component only from others.  No rows give no rows.
     """
-    docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    fps = materialized(fingerprints(docs, "text", scheme).select("id", *scheme.node), "fingerprints")
-    nodes = fps.groupBy(*scheme.node).agg(F.min("id").alias("id"))
-    labels = connected_components(links(nodes.filter("id IS NOT NULL"), scheme, cap))
-    if scheme.similarity is not None:
-        labels = connected_components(similar_links(docs, labels, scheme))
-    named = nodes.join(labels, F.col("id") == F.col("node"), "left").select(*scheme.node, F.coalesce("component", "id").alias("component"))
-    return fps.join(named, scheme.node, "left").select(F.col("id").alias(key), *scheme.words, "component")
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    fps = materialized(fingerprints(texts, "text", scheme).select("id", *scheme.node), "fingerprints")
+    return _components(fps, scheme, texts, cap).select(F.col("id").alias(key), *scheme.words, "component")
 
 
 def drop_near_copies(docs: DataFrame, key: str, text: str, scheme: Scheme = NEAR_COPIES) -> DataFrame:
-    """One document of each group, the one with the smallest key, and one row of those with the same key and text.
+    """One row of each group of near copies: the one with the smallest key, columns as they are.
 
-    Columns stay as they are.  Texts with a null key stay.
+    Segments are sized for the table.  Keys should be unique: where several rows
+    have that key, one stays for each of their texts, of rows with the same text
+    the one with the smallest hash of all its columns, and of rows that are equal
+    throughout one.  Rows with a null key stay, and count as a copy of none.  Null
+    and empty texts are copies of one another.
     """
-    found = groups(docs, key, text, scheme).filter(f"`{key}` = component").select(F.col(key).alias("__kept")).distinct()
-    return docs.join(found, F.col(f"`{key}`") == F.col("__kept"), "left").filter(F.col("__kept").isNotNull() | F.col(f"`{key}`").isNull()).drop("__kept").dropDuplicates([key, text])
+    every = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"])
+    marked = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), every.alias("row"))
+    fps = materialized(fingerprints(marked, "text", scheme).withColumn("body", F.xxhash64("text")).select("id", "row", "body", *scheme.node), "fingerprints")
+    found = _components(fps, sized(scheme, fps.count()), marked.select("id", "text"), KEY_ROWS)
+    kept = found.filter("id = component").groupBy("id", "body", "row").agg(F.count(F.lit(1)).alias("times")).groupBy("id", "body").agg(F.min(F.struct("row", "times")).alias("it"))
+    kept = materialized(kept.select(F.col("id").alias("__id"), F.col("it.row").alias("__row"), F.col("it.times").alias("__times")), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumns({"__own": F.col(f"`{key}`").cast("bigint"), "__mark": every}).filter("__own IS NOT NULL")
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, (F.col("__own") == F.col("__id")) & (F.col("__mark") == F.col("__row")))
+
+    out = of(kept.filter("__times = 1")).select(*columns).unionByName(docs.filter(F.col(f"`{key}`").cast("bigint").isNull()))
+    # Only rows that are there several times are dealt once more, so that one of them stays.
+    several = kept.filter("__times > 1")
+    return out if several.isEmpty() else out.unionByName(of(several).dropDuplicates(["__id", "__row"]).select(*columns))

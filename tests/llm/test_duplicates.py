@@ -105,6 +105,41 @@ def test_near_copies_go(spark):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 0.05 * originals
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = prose(80), prose(80)
+    rows = [(5, a, "x"), (5, a, "x"), (5, a, "y"), (7, a, "x"), (5, b, "z"), (9, b, "z"), (9, b, "z"), (None, a, "n"), (None, a, "n"), (11, None, "e"), (12, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, times string").repartition(4)
+    got = [tuple(r) for r in simhash.drop_near_copies(df, "doc_id", "text").collect()]
+    again = [tuple(r) for r in simhash.drop_near_copies(df.repartition(2), "doc_id", "text").collect()]
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    assert sorted(((k, t) for k, t, _ in got), key=repr) == sorted([(5, a), (5, b), (None, a), (None, a), (11, None)], key=repr)
+    assert simhash.drop_near_copies(df.limit(0), "doc_id", "text").columns == df.columns
+
+
+def test_meetings_stay_bounded_and_recall_high():
+    for texts in (10, 1 << 14, 10**5, 3 * 10**5, 10**6, 10**9, 10**11):
+        assert simhash.chance_meetings(simhash.sized(simhash.NEAR_COPIES, texts), texts) <= simhash.MEETINGS
+    r = np.random.default_rng(5)
+    pairs = []
+    for _ in range(400):
+        common = r.integers(0, 2**63, 267, dtype=np.uint64)
+        pairs.append([simhash.majority(np.r_[common, r.integers(0, 2**63, 33, dtype=np.uint64)], 4) for _ in range(2)])
+    differ = np.unpackbits(np.array([x ^ y for x, y in pairs]).view(np.uint8).reshape(400, -1), axis=1, bitorder="little")
+    for texts in (1000, 10**6, 10**8):
+        scheme = simhash.sized(simhash.NEAR_COPIES, texts)
+        found = np.stack([differ[:, p].sum(1) <= 1 for p in scheme.places()], 1).any(1) & (differ.sum(1) <= scheme.radius)
+        # 267 of 333 hashes are common: a similarity of 0.802.
+        assert found.mean() >= 0.9, texts
+
+
+def test_ball_pairs():
+    at = np.sort(np.random.default_rng(2).integers(0, 64, 300).astype(np.uint64)) | np.uint64(1 << 40)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if int(at[i] ^ at[j]).bit_count() <= 1}
+    got = [p for i, j in simhash.ball_pairs(at, 6, block=100) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert {(min(p), max(p)) for p in got} == want and len(got) == len(want)
+    assert list(simhash.ball_pairs(at[:0], 6)) == []
+
+
 def shingle_set(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
