@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,10 @@ class BloomSettings:
 
     ``num_bits`` fixes the size; else it follows from the approximate number of
     distinct keys and ``rate``, up to ``max_bits`` (8 MiB by default, as the
-    filter is broadcast).  The number of hashes is the best for that size.
+    filter is broadcast).  The number of hashes is the best for that size.  A
+    join leaves a filter out that can't pay: where Spark broadcasts the small
+    side, so that the large one isn't shuffled, and where more than ``useless``
+    of the strangers would pass; ``force`` keeps it.
     """
 
     num_bits: int | None = None
@@ -34,6 +39,12 @@ class BloomSettings:
     min_hashes: int = 1
     max_hashes: int = 4
     count_error: float = 0.01
+    useless: float = 0.5
+    force: bool = False
+
+    def __post_init__(self) -> None:
+        if self.num_bits is not None and not 0 < self.num_bits <= self.max_bits:
+            raise ValueError(f"a filter has 1 to {self.max_bits} bits, as it is broadcast; max_bits may be raised")
 
 
 class BitSet:
@@ -170,6 +181,11 @@ class BloomFilter:
         return cls(bits, hashes, BitSet(bits, data[cls._HEAD.size :]), keys)
 
 
+def approximate_count(hashes: Column, error: float) -> Column:
+    """About how many different 64-bit hashes there are, to a relative standard error; a sketch whose size the error bounds."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(hashes, min(21, max(4, math.ceil(2 * math.log2(1.04 / error))))))
+
+
 def bloom_table(df: DataFrame, keys: Sequence[str], num_bits: int, num_hashes: int, types: Sequence[str] | None = None) -> DataFrame:
     """The set bits as (bucket, bits) rows, built where the keys are and merged by one small shuffle."""
     cols = key_columns(keys, types)
@@ -187,7 +203,7 @@ def build_bloom(df: DataFrame, keys: str | Sequence[str], settings: BloomSetting
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = key_columns(keys, types)
-    n = df.select(F.approx_count_distinct(F.xxhash64(*cols), settings.count_error)).first()[0]
+    n = df.select(approximate_count(F.xxhash64(*cols), settings.count_error)).first()[0] or 0
     bits = settings.num_bits or bits_for(n, settings.rate, settings.max_bits)
     _, hashes = optimal_hashes(bits, max(n, 1), settings.min_hashes, settings.max_hashes)
     data = np.zeros((bits + 7) // 8 + _BUCKET // 8, np.uint8)
@@ -217,3 +233,36 @@ def might_contain(df: DataFrame, keys: str | Sequence[str], bloom: BloomFilter,
         return pd.Series(out)
 
     return test(*[bit_index(cols, i, bloom.num_bits) for i in range(bloom.num_hashes)])
+
+
+def runtime_filter(small: DataFrame, keys: Sequence[str], settings: BloomSettings, types: Sequence[str]) -> Callable[[DataFrame, Sequence[str]], Column] | None:
+    """A condition on another table's keys that keeps all of ``small``'s and few others; None if too many others would pass.
+
+    Built and tested by Spark's own Bloom filter, which runs inside generated
+    code; only a size fixed by the caller takes the filter above.  Null keys don't pass.
+    """
+    if settings.num_bits is not None:
+        built = build_bloom(small, keys, settings, types)
+        return lambda df, names: might_contain(df, names, built, types)
+    cols = key_columns(keys, types)
+    n = small.select(approximate_count(F.xxhash64(*cols), settings.count_error)).first()[0]
+    if not n:
+        return lambda df, names: F.lit(False)
+    bits = bits_for(n, settings.rate, settings.max_bits)
+    if optimal_hashes(bits, n, settings.min_hashes, settings.max_hashes)[0] > settings.useless and not settings.force:
+        return None
+    spark = small.sparkSession
+    # Nulls make no key; others are known by one hash.
+    hashed = small.dropna("any", subset=list(keys)).select(F.xxhash64(*cols).alias("h"))
+    out = spark._jvm.java.io.ByteArrayOutputStream()
+    hashed._jdf.stat().bloomFilter("h", n, bits).writeTo(out)
+    data = F.lit(bytes(out.toByteArray()))
+
+    def test(df: DataFrame, names: Sequence[str]) -> Column:
+        own = key_columns([df[k] for k in names], types)
+        jvm = spark._jvm
+        expression = jvm.org.apache.spark.sql.classic.ExpressionUtils
+        hit = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(expression.expression(data._jc), expression.expression(F.xxhash64(*own)._jc))
+        return reduce(lambda a, b: a & b, [c.isNotNull() for c in own]) & Column(expression.column(hit))
+
+    return test

@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.hashing import name_id
 from millrace.operators.aggregates import Aggregate
+from millrace.operators.metrics import EVICTED, INPUT, OUTPUT, Counters
+from millrace.session import fresh_path
 
 #: Names the definition that a row of a combined result belongs to.
 SPEC_ID = "__combiner_id"
@@ -105,21 +107,30 @@ def combine_partial_bounded(
     size_of: Callable[[tuple, Any], int] | None = None,
     evict_when: Callable[[Any], bool] | None = None,
     strict: bool = False,
+    keep_null_groups: bool = True,
+    counters: Counters | None = None,
+    label: str = "combiner",
 ) -> DataFrame:
     """Partial rows by user code, from a least-recently-used cache per task.
 
     A key that is pushed out by ``item_limit`` or ``memory_limit`` (bytes, as
     ``size_of(key, state)`` tells them), or whose state satisfies
     ``evict_when``, is emitted early and may come again: results are exact only
-    after a merge.  ``strict`` raises at the first forced eviction.  Aggregates
-    that are expressions belong in :func:`combine_partial`.
+    after a merge.  ``strict`` raises at the first eviction of either kind.
+    ``counters`` gets the rows taken, evicted and put out, under ``label``.
+    Aggregates that are expressions belong in :func:`combine_partial`.
     """
     if item_limit <= 0 and not memory_limit:
         raise ValueError("one of the limits must be positive")
     if memory_limit and size_of is None:
         raise ValueError("a memory limit needs size_of")
     keys, fields = list(group_by), list(inputs)
+    df = _with_groups(df, keys, keep_null_groups)
     schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(output)))
+    if counters is not None:
+        df = counters.observe(df, {(label, INPUT): F.count(F.lit(1))})
+    flagged = T.StructType([*schema, T.StructField("__evicted", T.BooleanType())]) if counters is not None else schema
+    told = counters is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[tuple, Any] = OrderedDict()
@@ -129,7 +140,9 @@ def combine_partial_bounded(
             state = update(cache.pop(key) if key in cache else zero(), values)
             held -= sizes.pop(key, 0)
             if evict_when is not None and evict_when(state):
-                out.append(key + emit(state))
+                if strict:
+                    raise EvictionError(f"the state of {key} is to be evicted")
+                out.append(key + emit(state) + ((True,) if told else ()))
             else:
                 cache[key] = state
                 if memory_limit:
@@ -140,14 +153,17 @@ def combine_partial_bounded(
                         raise EvictionError(f"more than {item_limit} keys or {memory_limit} bytes")
                     old, state = cache.popitem(last=False)
                     held -= sizes.pop(old, 0)
-                    out.append(old + emit(state))
+                    out.append(old + emit(state) + ((True,) if told else ()))
             if last and out:
-                yield _batch(out, schema)
+                yield _batch(out, flagged)
                 out = []
         if cache:
-            yield _batch([k + emit(s) for k, s in cache.items()], schema)
+            yield _batch([k + emit(s) + ((False,) if told else ()) for k, s in cache.items()], flagged)
 
-    return _positional(df, keys, fields).mapInArrow(run, schema)
+    made = _positional(df, keys, fields).mapInArrow(run, flagged)
+    if counters is None:
+        return made
+    return counters.observe(made, {(label, EVICTED): F.count_if(F.col("__evicted")), (label, OUTPUT): F.count(F.lit(1))}).drop("__evicted")
 
 
 def _positional(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -227,15 +243,18 @@ def _check_specs(specs: Sequence[AggregationSpec]) -> None:
         seen[s.id] = s.name
 
 
-def multi_aggregate(frames: DataFrame | Sequence[DataFrame], specs: Sequence[AggregationSpec]) -> DataFrame:
+def multi_aggregate(frames: DataFrame | Sequence[DataFrame], specs: Sequence[AggregationSpec], reduce_first: bool = False) -> DataFrame:
     """Many independent groupings from one scan and one shuffle.
 
-    Each row is expanded once per definition to (id, its group columns, nulls in
-    the others'); one grouping by the id and all group columns follows, where an
-    aggregate only looks at rows of its own definition.  Partial aggregation
-    shrinks the expanded rows before they are shuffled.  The result has
-    :data:`SPEC_ID`, then all group and output columns, nulls where a definition
-    has none of them.  Outputs of the same name must agree in type.
+    They are the grouping sets of one aggregation: rows are expanded, with the
+    columns that some definition needs only, and partially aggregated before
+    they are shuffled.  ``reduce_first`` aggregates by all group columns together
+    before that, so that only these rows are expanded: one more, small, shuffle,
+    which pays if all groups together are far fewer than the rows.
+
+    The result has :data:`SPEC_ID`, then all group and output columns, nulls
+    where a definition has none of them.  Outputs of the same name must agree in
+    type.  Without rows there is no result row, also of a definition without groups.
     """
     _check_specs(specs)
     df = stack(frames)
@@ -244,18 +263,9 @@ def multi_aggregate(frames: DataFrame | Sequence[DataFrame], specs: Sequence[Agg
     if both := set(groups) & set(outputs):
         raise ValueError(f"columns are groups in one definition and outputs in another: {sorted(both)}")
 
-    types = dict(df.dtypes)
-    grouped: list[Column] = []
-    for s in specs:
-        keep = F.lit(True)
-        if not s.keep_null_groups and s.group_by:
-            keep = reduce(lambda a, b: a | b, [F.col(g).isNotNull() for g in s.group_by])
-        cells = [(F.col(g) if g in s.group_by else F.lit(None).cast(types[g])).alias(f"__g_{g}") for g in groups]
-        grouped.append(F.when(keep, F.struct(F.lit(s.id).alias(SPEC_ID), *cells)))
-    expanded = df.select("*", F.explode(F.array_compact(F.array(*grouped))).alias("__as"))
-
     # One aggregate per distinct expression: definitions that ask for the same share it.
     partial: dict[str, Column] = {}
+    merges: dict[str, Callable[[Column], Column]] = {}
     shared: dict[str, str] = {}
     slots: dict[tuple[int, str], str] = {}
     for s in specs:
@@ -264,28 +274,68 @@ def multi_aggregate(frames: DataFrame | Sequence[DataFrame], specs: Sequence[Agg
                 text = str(c)
                 if text not in shared:
                     shared[text] = f"__p_{len(shared)}"
-                    partial[shared[text]] = c
+                    partial[shared[text]], merges[shared[text]] = c, a.merge[name]
                 slots[(s.id, name)] = shared[text]
-    keys = [F.col(f"__as.{SPEC_ID}").alias(SPEC_ID), *[F.col(f"__as.__g_{g}").alias(f"__g_{g}") for g in groups]]
-    merged = expanded.groupBy(*keys).agg(*[c.alias(n) for n, c in partial.items()])
+    aggregated = [c.alias(n) for n, c in partial.items()] or [F.count(F.lit(1)).alias("__p_none")]
+    if reduce_first and groups and partial:
+        df = df.groupBy(*[F.col(f"`{g}`") for g in groups]).agg(*aggregated)
+        aggregated = [merge(F.col(n)).alias(n) for n, merge in merges.items()]
 
-    # Each definition finishes its own rows; Catalyst folds the steps into one projection.
-    out = merged
+    # Definitions with the same groups are one set; which they are is told by the columns that a row's set leaves out.
+    sets: dict[tuple[str, ...], list[AggregationSpec]] = {}
+    for s in specs:
+        sets.setdefault(tuple(g for g in groups if g in s.group_by), []).append(s)
+    if groups:
+        cols = {g: F.col(f"`{g}`") for g in groups}
+        merged = df.groupingSets([[cols[g] for g in key] for key in sets], *cols.values()).agg(F.grouping_id(), *aggregated)
+    else:
+        merged = df.groupBy(F.lit(0).cast("bigint")).agg(*aggregated)
+    merged = merged.toDF(*[f"__g_{g}" for g in groups], "__set", *merged.columns[len(groups) + 1 :])
+    ids = F
+    for key, same in sets.items():
+        left_out = sum(1 << (len(groups) - 1 - i) for i, g in enumerate(groups) if g not in key)
+        wanted = []
+        for s in same:
+            keep = s.keep_null_groups or not key or reduce(lambda a, b: a | b, [F.col(f"`__g_{g}`").isNotNull() for g in key])
+            wanted.append(F.lit(s.id) if keep is True else F.when(keep, F.lit(s.id)))
+        ids = ids.when(F.col("__set") == left_out, wanted[0] if len(sets) == len(specs) else F.array_compact(F.array(*wanted)))
+    ids = ids if len(sets) == len(specs) else F.explode(ids)
+
+    # Each definition finishes its own rows.  Definitions whose intermediates don't share a name with another
+    # meaning are finished in one step, as every step of a plan costs analysis.
+    steps: list[tuple[dict[str, str], dict[str, Column]]] = []
     for i, s in enumerate(specs):
-        for a in s.aggregates:
-            bound = {n: F.col(slots[(s.id, n)]) for n in a.partial}
-            done = {f"__o_{i}_{o}": F.when(F.col(SPEC_ID) == s.id, c) for o, c in a.finish.items()}
-            out = out.withColumns(bound).withColumns(done).drop(*bound)
-    finished = [F.coalesce(*[F.col(f"__o_{i}_{o}") for i, s in enumerate(specs) if o in s.outputs]).alias(o) for o in outputs]
-    return out.select(SPEC_ID, *[F.col(f"__g_{g}").alias(g) for g in groups], *finished)
-
-
-def multi_aggregate_tails(frames: DataFrame | Sequence[DataFrame], specs: Sequence[AggregationSpec], wide: DataFrame | None = None) -> dict[str, DataFrame]:
+        need = {n: slots[(s.id, n)] for a in s.aggregates for n in a.partial}
+        done = {f"__o_{i}_{o}": F.when(F.col(SPEC_ID) == s.id, c) for a in s.aggregates for o, c in a.finish.items()}
+        for bound, finish in steps:
+            if all(bound.get(n, slot) == slot for n, slot in need.items()):
+                bound |= need
+                finish |= done
+                break
+        else:
+            steps.append((need, done))
+    out = merged.withColumns({SPEC_ID: ids} | {n: F.col(slot) for n, slot in steps[0][0].items()})
+    if not all(s.keep_null_groups for s in specs):
+        out = out.filter(F.col(SPEC_ID).isNotNull())
+    for (_, finish), (bound, _) in zip(steps, steps[1:], strict=False):
+        out = out.withColumns(finish).withColumns({n: F.col(slot) for n, slot in bound.items()})
+    last = steps[-1][1]
+    made = {o: [last.get(f"__o_{i}_{o}", F.col(f"`__o_{i}_{o}`")) for i, s in enumerate(specs) if o in s.outputs] for o in outputs}
+    return out.select(SPEC_ID, *[F.col(f"`__g_{g}`").alias(g) for g in groups], *[(F.coalesce(*c) if len(c) > 1 else c[0]).alias(o) for o, c in made.items()])
+
+
+def multi_aggregate_tails(frames: DataFrame | Sequence[DataFrame], specs: Sequence[AggregationSpec], path: str | None = None, reduce_first: bool = False) -> dict[str, DataFrame]:
     """The same, as one DataFrame per definition with its own columns.
 
-    Each tail filters the wide result, so write or cache it (and pass it as
-    ``wide``) before reading several tails: otherwise each reads the input anew.
+    The wide result is written once, by definition, to ``path`` (a folder of its
+    own below the session's shared one unless given), and each tail reads its
+    part: the input is read and shuffled once, however many tails are read.
     """
     _check_specs(specs)
-    wide = multi_aggregate(frames, specs) if wide is None else wide
-    return {s.name: wide.filter(F.col(SPEC_ID) == s.id).select(*s.group_by, *s.outputs) for s in specs}
+    wide = multi_aggregate(frames, specs, reduce_first)
+    spark = wide.sparkSession
+    path = path or fresh_path(spark, "tails")
+    wide.write.mode("overwrite").partitionBy(SPEC_ID).parquet(path)
+    schema = T.StructType([f for f in wide.schema if f.name != SPEC_ID] + [wide.schema[SPEC_ID]])
+    back = spark.read.schema(schema).parquet(path)
+    return {s.name: back.filter(F.col(SPEC_ID) == s.id).select(*s.group_by, *s.outputs) for s in specs}

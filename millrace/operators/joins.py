@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators.bloom import BloomSettings, build_bloom, might_contain
+from millrace.operators.bloom import BloomSettings, runtime_filter
+from millrace.operators.metrics import FILTERED, INPUT, Counters
 
 #: Joins of (large, small) that keep all rows of the large side, or of both: no filter may drop rows of it then.
 _KEEPS_LARGE = {"left", "full"}
@@ -59,6 +61,7 @@ def key_join(
     suffix: str = "_right",
     null_safe: bool = False,
     bloom: BloomSettings | None = None,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Join a large with a small input on equal keys.
 
@@ -71,7 +74,8 @@ def key_join(
     ``bloom`` adds an explicit one before the shuffle, for inputs whose sizes
     Catalyst can't know; it is left out where it could lose rows of the large
     side (``keep_large``, ``full``) or under ``null_safe``, whose null keys no
-    filter holds.
+    filter holds, and where it can't pay (see :class:`BloomSettings`).
+    ``counters`` gets the large side's rows and those that the filter drops.
     """
     kinds = {"inner": "inner", "keep_large": "left", "keep_small": "right", "full": "full"}
     if how not in kinds:
@@ -81,9 +85,8 @@ def key_join(
     lk, sk = _names(large_keys), _names(small_keys)
     kind = kinds[how]
     if bloom is not None and kind not in _KEEPS_LARGE and not null_safe:
-        types = _common_types(large, lk, small, sk)
-        built = build_bloom(small, sk, bloom, types=types)
-        large = large.filter(might_contain(large, lk, built, types=types))
+        if bloom.force or bloom.num_bits is not None or kind != "inner" or not _broadcast(small):
+            large = _filtered(large, lk, small, sk, bloom, counters)
     flip = order == "small_first"
     first, second = (small, large) if flip else (large, small)
     fk, rk = (sk, lk) if flip else (lk, sk)
@@ -95,10 +98,36 @@ def key_join(
     return a.join(b, on, kind)
 
 
+def _broadcast(small: DataFrame) -> bool:
+    """Whether Spark will broadcast the table by its own estimate of the size."""
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _filtered(large: DataFrame, lk: Sequence[str], small: DataFrame, sk: Sequence[str], settings: BloomSettings, counters: Counters | None) -> DataFrame:
+    types = _common_types(large, lk, small, sk)
+    test = runtime_filter(small, sk, settings, types)
+    if test is None:
+        return large
+    hit = test(large, lk)
+    if counters is not None:
+        large = counters.observe(large, {("BloomJoin", INPUT): F.count(F.lit(1)), ("BloomJoin", FILTERED): F.count_if(~hit)})
+    return large.filter(hit)
+
+
 #: Spark types by width, for keys that are compared by hash.
 _WIDTH = ["tinyint", "smallint", "int", "bigint"]
 
 
+def _decimal(kind: str) -> tuple[int, int] | None:
+    """(digits before the point, digits after it) of a decimal or integral type."""
+    if kind in _WIDTH:
+        return 20, 0
+    if m := re.fullmatch(r"decimal\((\d+),(\d+)\)", kind):
+        return int(m[1]) - int(m[2]), int(m[2])
+    return None
+
+
 def _common_types(large: DataFrame, lk: Sequence[str], small: DataFrame, sk: Sequence[str]) -> list[str]:
     """One type per key that both sides are cast to, so that equal keys hash alike."""
     out = []
@@ -110,6 +139,8 @@ def _common_types(large: DataFrame, lk: Sequence[str], small: DataFrame, sk: Seq
             out.append(max(x, y, key=_WIDTH.index))
         elif {x, y} <= {*_WIDTH, "float", "double"}:
             out.append("double")
+        elif (p := _decimal(x)) and (q := _decimal(y)) and max(p[0], q[0]) + max(p[1], q[1]) <= 38:
+            out.append(f"decimal({max(p[0], q[0]) + max(p[1], q[1])},{max(p[1], q[1])})")
         else:
             raise TypeError(f"keys {a} and {b} have types {x} and {y}")
     return out
@@ -123,17 +154,18 @@ def semi_filter(
     exact: bool = True,
     null_safe: bool = False,
     bloom: BloomSettings | None = None,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Rows of ``large`` whose key occurs in ``small``; each row once, however often the key does.
 
     Exact: a left-semi join.  Inexact: only a Bloom filter is asked, the large
     side is not shuffled, no member is lost and a few strangers may stay; rows
-    with a null key go.
+    with a null key go.  If the filter would let most strangers pass, none is
+    made and all rows stay.
     """
     lk, sk = _names(large_keys), _names(small_keys)
     if not exact:
-        types = _common_types(large, lk, small, sk)
-        return large.filter(might_contain(large, lk, build_bloom(small, sk, bloom or BloomSettings(), types=types), types=types))
+        return _filtered(large, lk, small, sk, bloom or BloomSettings(), counters)
     names = [f"__key_{i}" for i in range(len(sk))]
     keys = small.select([F.col(k).alias(n) for k, n in zip(sk, names, strict=True)])
     return large.join(keys, _condition(large, lk, keys, names, null_safe), "left_semi")

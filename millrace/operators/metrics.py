@@ -18,7 +18,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: The counters' names.
 INPUT, OUTPUT, KEPT, REMOVED, GROUPS = "Input records", "Output records", "Kept records", "Removed records", "Input groups"
+EVICTED, FILTERED, REJECTED = "Evicted records", "Filtered records", "Rejected records"
 
 
 @dataclass(frozen=True, order=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-#: Most characters that a name's sources, and a whole name, may take.
+#: Most characters that a name's sources, and a whole name, may take.
 SOURCES_LENGTH, NAME_LENGTH = 75, 175
 #: What planners append to make a sink unique.
 _SUFFIX = re.compile(r"_\d+_[0-9a-fA-F]{32}$")

@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.metrics import Counters, report
 from millrace.plans.naming import checked_name
+from millrace.sources.files import Files
 
 
 class RunRecorder(Protocol):
@@ -64,10 +65,14 @@ class Runner:
     fail_on_counters: bool = False
     checkpointed: bool = False
 
-    def run(self, name: str, action: Callable[[], Any], counters: Counters | None = None) -> tuple[Any, str]:
-        """The action's result and the run's report."""
+    def run(self, name: str, action: Callable[[], Any], counters: Counters | None = None, functions: Sequence[Callable] = ()) -> tuple[Any, str]:
+        """The action's result and the run's report.
+
+        ``functions`` that the plan sends to executors are checked before anything is submitted.
+        """
         if self.checkpointed:
             checked_name(name)
+        check_serialises(*functions)
         for hook in self.hooks:
             hook(self.spark, name)
         self.spark.sparkContext.addJobTag(f"run-{checked_tag(name)}")
@@ -90,6 +95,16 @@ class Runner:
             self.spark.sparkContext.removeJobTag(f"run-{checked_tag(name)}")
             self.recorder.on_finished(name, time.monotonic() - began, error)
 
+    def step(self, name: str, build: Callable[[], DataFrame], folder: str, functions: Sequence[Callable] = ()) -> DataFrame:
+        """The step's table, written as Parquet below ``folder`` under its name; one that an earlier run finished is read instead.
+
+        So a run that failed goes on after its last whole step.
+        """
+        path = f"{folder.rstrip('/')}/{checked_name(name)}"
+        if not Files(self.spark).exists(f"{path}/_SUCCESS"):
+            self.run(name, lambda: build().write.mode("overwrite").parquet(path), functions=functions)
+        return self.spark.read.parquet(path)
+
     def stop(self, name: str) -> None:
         """Cancel the jobs of a run, from another thread."""
         self.spark.sparkContext.cancelJobsWithTag(f"run-{checked_tag(name)}")

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import name_id
+from millrace.functions.hashing import false_positive_rate, name_id, optimal_hashes
 from millrace.operators import aggregates as A
-from millrace.operators.bloom import BloomSettings
+from millrace.operators.bloom import BitSet, BloomFilter, BloomSettings, build_bloom, might_contain
 from millrace.operators.cogroup import multi_group, multi_group_apply
-from millrace.operators.combine import SPEC_ID, AggregationSpec, combine, combine_final, combine_final_ordered, combine_partial, combine_partial_bounded, multi_aggregate, multi_aggregate_tails
+from millrace.operators.combine import SPEC_ID, AggregationSpec, EvictionError, combine, combine_final, combine_final_ordered, combine_partial, combine_partial_bounded, multi_aggregate, multi_aggregate_tails, stack
 from millrace.operators.joins import key_join, limit_join, semi_filter
-from millrace.operators.metrics import Counters
+from millrace.operators.metrics import Counters, caller_label, report
 from millrace.operators.rows import append_nulls, batch_map, emit_wide, key_hash, remove_where, rename_in_place
-from millrace.sources.fixed_width import read_fixed_width
-from millrace.sources.json_objects import read_object, write_object
-from millrace.sources.sinks import NullSink
+from millrace.operators.traps import ERROR, trap_map, trap_where, trapped
+from millrace.plans.naming import checked_name, job_name, leaf
+from millrace.plans.runner import NoRecorder, Runner, check_serialises
+from millrace.session import REQUIRED, check_properties, fresh_path, merge_properties
+from millrace.sources.datasets import Dataset, DatasetRegistry, batched_reads
+from millrace.sources.files import Files
+from millrace.sources.fixed_width import read_fixed_width, write_fixed_width
+from millrace.sources.json_objects import read_json, read_object, read_object_column, read_object_with, write_entries, write_json, write_object
+from millrace.sources.sinks import NullSink, read_rows, write_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +54,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: the checkpoint folder's, or a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root}/millrace-{os.getpid()}-{uuid.uuid4().hex}"
+    """A folder that all executors share."""
+    return fresh_path(spark, "scratch")
+
+
+def _checks(spark: SparkSession, found: Mapping[str, bool]) -> DataFrame:
+    return spark.createDataFrame(sorted((k, bool(v)) for k, v in found.items()), "name string, holds boolean")
+
+
+def _checks_sql(*names: str) -> str:
+    return "SELECT name, true AS holds FROM (VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS v(name)"
+
+
+def _raises(kind: type[BaseException] | tuple[type[BaseException], ...], action: Callable[[], object]) -> bool:
+    try:
+        action()
+    except kind:
+        return True
+    return False
 
 
 def _rich(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +115,36 @@ for _how, _kind in (("inner", ""), ("keep_large", "LEFT"), ("keep_small", "RIGHT
     query(f"key_join_{_how}", _join_sql(_kind))(lambda spark, d, how=_how: _joined(spark, d, how))
 
 query("key_join_bloom", _join_sql(""))(lambda spark, d: _joined(spark, d, "inner", bloom=BloomSettings()))
+query("key_join_bloom_forced", _join_sql(""))(lambda spark, d: _joined(spark, d, "inner", bloom=BloomSettings(force=True)))
+query("key_join_bloom_sized", _join_sql("RIGHT"))(lambda spark, d: _joined(spark, d, "keep_small", bloom=BloomSettings(num_bits=4096)))
+
+
+@query(
+    "key_join_bloom_counters",
+    "SELECT 'Input records' AS name, count(*) AS value, true AS holds FROM orders UNION ALL SELECT 'Filtered records', NULL, true",
+)
+def key_join_bloom_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The large side's rows, and whether the filter dropped nine tenths of the strangers and no member."""
+    c = Counters()
+    orders, rich = table(spark, d, "orders"), _rich(spark, d)
+    NullSink().write(key_join(orders, "o_custkey", rich, "c_custkey", bloom=BloomSettings(force=True), counters=c))
+    strangers = orders.join(rich, orders["o_custkey"] == rich["c_custkey"], "left_anti").count()
+    n, dropped = c.get("Input records", "BloomJoin"), c.get("Filtered records", "BloomJoin")
+    return spark.createDataFrame([("Input records", n, True), ("Filtered records", None, 0.9 * strangers <= dropped <= strangers)], "name string, value bigint, holds boolean")
+
+
+#: Items of large orders, joined where neither side is small enough to be broadcast: what the benchmark times.
+_SHUFFLED = "SELECT l_orderkey, l_linenumber, l_extendedprice, o_custkey FROM lineitem JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 480000) ON l_orderkey = o_orderkey"
+
+
+def shuffled_join(spark: SparkSession, d: str, bloom: BloomSettings | None) -> DataFrame:
+    orders = table(spark, d, "orders").filter("o_totalprice > 480000").select("o_orderkey", "o_custkey").hint("merge")
+    joined = key_join(table(spark, d, "lineitem"), "l_orderkey", orders, "o_orderkey", bloom=bloom)
+    return joined.select("l_orderkey", "l_linenumber", "l_extendedprice", "o_custkey")
+
+
+query("key_join_shuffled", _SHUFFLED)(lambda spark, d: shuffled_join(spark, d, None))
+query("key_join_shuffled_bloom", _SHUFFLED)(lambda spark, d: shuffled_join(spark, d, BloomSettings(force=True)))
 query("key_join_small_first", _join_sql("RIGHT"))(lambda spark, d: _joined(spark, d, "keep_small", order="small_first"))
 
 
@@ -267,13 +314,22 @@ def multi_aggregate_wide(spark: SparkSession, d: str) -> DataFrame:
     return multi_aggregate(table(spark, d, "lineitem"), _specs())
 
 
+@query("multi_aggregate_reduced", _wide_sql())
+def multi_aggregate_reduced(spark: SparkSession, d: str) -> DataFrame:
+    return multi_aggregate(table(spark, d, "lineitem"), _specs(), reduce_first=True)
+
+
+def tails(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return multi_aggregate_tails(table(spark, d, "lineitem"), _specs(), reduce_first=True)
+
+
 for _name, _sql in {
     "by_flag": "SELECT l_returnflag, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY 1",
     "by_flag_status": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2",
     "by_line": "SELECT l_linenumber, sum(l_quantity) AS total, count(l_quantity) AS m, sum(l_quantity) / count(l_quantity) AS mean FROM lineitem GROUP BY 1",
     "all": "SELECT count(*) AS n FROM lineitem",
 }.items():
-    query(f"multi_aggregate_tail_{_name}", _sql)(lambda spark, d, name=_name: multi_aggregate_tails(table(spark, d, "lineitem"), _specs())[name])
+    query(f"multi_aggregate_tail_{_name}", _sql)(lambda spark, d, name=_name: tails(spark, d)[name])
 
 
 @query("hll_within_tolerance", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY 1")
@@ -364,7 +420,7 @@ def emit_wide_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query("merge_inputs", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 def merge_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).unionByName(table(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+    return stack([table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k"))])
 
 
 @query(
@@ -389,7 +445,7 @@ def fixed_width_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("json_object_entries", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
 def json_object_entries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+    return read_object_column(table(spark, d, "events").select("event_id", "props"), "props", "bigint")
 
 
 @query("json_object_roundtrip", "SELECT n_name AS key, CAST(n_nationkey AS BIGINT) AS value FROM nation")
@@ -418,6 +474,273 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return combine(kept, ["o_orderstatus"], [A.count_rows("n"), A.total("o_orderkey", "keys")])
 
 
-def settings_json() -> str:
-    """The Bloom defaults, for reports."""
-    return json.dumps(BloomSettings().__dict__)
+# What the tables above don't show: refusals, limits, storage, run tooling
+
+_FILTER_CHECKS = ("union_has_both", "intersection_has_common", "sizes_must_agree", "stored_is_equal", "key_count_is_near", "bits_work", "rates")
+
+
+@query("bloom_filter_object", _checks_sql(*_FILTER_CHECKS))
+def bloom_filter_object(spark: SparkSession, d: str) -> DataFrame:
+    customers = table(spark, d, "customer").select("c_custkey")
+    settings = BloomSettings(num_bits=1 << 16)
+    low, high = (build_bloom(customers.filter(f), "c_custkey", settings) for f in ("c_custkey <= 1000", "c_custkey > 900"))
+    of = lambda b: customers.filter(might_contain(customers, "c_custkey", b))
+    n = customers.count()
+    bits = BitSet(11)
+    bits.fill()
+    bits.unset(3)
+    bits.flip()
+    again = BloomFilter.from_bytes(low.to_bytes())
+    return _checks(
+        spark,
+        {
+            "union_has_both": of(low.union(high)).count() == n,
+            "intersection_has_common": of(low.intersection(high)).filter("c_custkey > 900 AND c_custkey <= 1000").count() == customers.filter("c_custkey > 900 AND c_custkey <= 1000").count(),
+            "sizes_must_agree": _raises(ValueError, lambda: low.union(BloomFilter(64, low.num_hashes))),
+            "stored_is_equal": again.bits == low.bits and again.num_hashes == low.num_hashes,
+            "key_count_is_near": abs(low.num_keys - min(n, 1000)) <= 0.05 * min(n, 1000),
+            "bits_work": bits.count() == 1 and bits.get(3),
+            "rates": round(false_positive_rate(3, 100, 20), 3) == 0.092 and round(false_positive_rate(2, 100, 50), 3) == 0.4 and optimal_hashes(100, 10, 1, 6)[1] == 6,
+        },
+    )
+
+
+def _bounded(df: DataFrame, **limits: object) -> DataFrame:
+    return combine_partial_bounded(df, ["l_suppkey"], ["l_linenumber"], lambda: 0, lambda s, row: s + int(row[0]), lambda s: (s,), "total bigint", **limits)
+
+
+_BY_SUPPLIER = "SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY 1"
+
+
+@query("combine_bounded_by_memory", _BY_SUPPLIER)
+def combine_bounded_by_memory(spark: SparkSession, d: str) -> DataFrame:
+    partial = _bounded(table(spark, d, "lineitem"), item_limit=0, memory_limit=1000, size_of=lambda key, state: 60)
+    return combine_final(partial, ["l_suppkey"], [A.total("total", "total")])
+
+
+@query("combine_bounded_evict_when", _BY_SUPPLIER)
+def combine_bounded_evict_when(spark: SparkSession, d: str) -> DataFrame:
+    return combine_final(_bounded(table(spark, d, "lineitem"), evict_when=lambda state: state > 50), ["l_suppkey"], [A.total("total", "total")])
+
+
+@query("combine_bounded_drop_null_groups", "SELECT a, count(*) AS n FROM (SELECT CASE WHEN l_linenumber > 2 THEN l_returnflag END AS a FROM lineitem) WHERE a IS NOT NULL GROUP BY 1")
+def combine_bounded_drop_null_groups(spark: SparkSession, d: str) -> DataFrame:
+    partial = combine_partial_bounded(_with_nulls(spark, d), ["a"], ["l_quantity"], lambda: 0, lambda s, _: s + 1, lambda s: (s,), "n bigint", keep_null_groups=False)
+    return combine_final(partial, ["a"], [A.total("n", "n")])
+
+
+@query("combine_counters", "SELECT 'Input records' AS name, count(*) AS value FROM orders UNION ALL SELECT 'Output records', count(*) FROM orders UNION ALL SELECT 'Evicted records', count(*) - 1 FROM orders")
+def combine_counters(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of one entry, over keys that never repeat: all but the last are pushed out."""
+    c = Counters()
+    df = table(spark, d, "orders").select("o_orderkey").coalesce(1)
+    NullSink().write(combine_partial_bounded(df, ["o_orderkey"], ["o_orderkey"], lambda: 0, lambda s, _: s + 1, lambda s: (s,), "n bigint", item_limit=1, counters=c, label="q"))
+    return spark.createDataFrame([(x.name, x.value) for x in c.collect()], "name string, value bigint")
+
+
+_REFUSED = ("strict_limit", "strict_eviction", "id_collision", "no_limit", "overlapping_names", "memory_without_size")
+
+
+@query("combine_refusals", _checks_sql(*_REFUSED))
+def combine_refusals(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.errors import PythonException
+
+    items = table(spark, d, "lineitem")
+    return _checks(
+        spark,
+        {
+            "strict_limit": _raises((PythonException, EvictionError), lambda: NullSink().write(_bounded(items, item_limit=1, strict=True))),
+            "strict_eviction": _raises((PythonException, EvictionError), lambda: NullSink().write(_bounded(items, evict_when=lambda s: s > 3, strict=True))),
+            "id_collision": _raises(ValueError, lambda: multi_aggregate(items, [AggregationSpec("Aa", ["l_suppkey"], []), AggregationSpec("BB", ["l_partkey"], [])])),
+            "no_limit": _raises(ValueError, lambda: _bounded(items, item_limit=0)),
+            "overlapping_names": _raises(ValueError, lambda: AggregationSpec("x", ["l_tax"], [A.total("l_quantity", "l_tax")])),
+            "memory_without_size": _raises(ValueError, lambda: _bounded(items, memory_limit=10)),
+        },
+    )
+
+
+@query("multi_aggregate_null_groups", "SELECT 'ab' AS spec, a, b, count(*) AS n FROM " + _NULLS + " WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 'b', NULL, b, count(*) FROM " + _NULLS + " GROUP BY 3 UNION ALL SELECT 'b2', NULL, b, count(*) FROM " + _NULLS + " WHERE b IS NOT NULL GROUP BY 3")
+def multi_aggregate_null_groups(spark: SparkSession, d: str) -> DataFrame:
+    specs = [AggregationSpec("ab", ["a", "b"], [A.count_rows("n")], keep_null_groups=False), AggregationSpec("b", ["b"], [A.count_rows("n")]), AggregationSpec("b2", ["b"], [A.count_rows("n")], keep_null_groups=False)]
+    names = F.create_map(*[x for s in specs for x in (F.lit(s.id), F.lit(s.name))])
+    return multi_aggregate(_with_nulls(spark, d), specs).select(names[F.col(SPEC_ID)].alias("spec"), "a", "b", "n")
+
+
+@query("stats_groups", "SELECT 'q' AS \"group\", 'b - Input groups' AS name, count(DISTINCT o_orderstatus) AS value FROM orders UNION ALL SELECT 'q', 'b - Output records', 2 * count(DISTINCT o_orderstatus) FROM orders")
+def stats_groups_query(spark: SparkSession, d: str) -> DataFrame:
+    c = Counters()
+    return _counted(spark, c, c.stats_groups(table(spark, d, "orders"), ["o_orderstatus"], lambda x: x.select("o_orderstatus").distinct().select(F.explode(F.array("o_orderstatus", "o_orderstatus"))), ("q", "b")))
+
+
+@query("counter_null_equals_null", "SELECT '' AS \"group\", 'n' AS name, count(*) AS value FROM " + _NULLS + " WHERE a IS NULL AND l_quantity = 7")
+def counter_null_equals_null(spark: SparkSession, d: str) -> DataFrame:
+    c = Counters()
+    return _counted(spark, c, c.increment_for_values(_with_nulls(spark, d), {"a": None, "l_quantity": 7.0}, "n"))
+
+
+@query("counter_reports", _checks_sql("black_hole", "no_black_hole", "bytes_are_humanised", "label_has_line"))
+def counter_reports(spark: SparkSession, d: str) -> DataFrame:
+    group, name = caller_label("Filter", depth=1)
+    return _checks(
+        spark,
+        {
+            "black_hole": "BLACK HOLE" in report({"g": {"Tuples Read": 5}}),
+            "no_black_hole": "BLACK HOLE" not in report({"g": {"Tuples Read": 5, "Tuples Written": 1}}),
+            "bytes_are_humanised": "2.0 KB" in report({"g": {"Bytes read": 2048}}),
+            "label_has_line": group == "queries" and name.endswith(" - Filter") and name.split(" ")[0].isdigit(),
+        },
+    )
+
+
+def _lines(spark: SparkSession, d: str) -> str:
+    """Nation names at ten characters, longer ones cut at twelve, shorter ones left short."""
+    path = f"{scratch(spark)}/lines"
+    table(spark, d, "nation").select(F.substring("n_name", 1, 12).alias("value")).write.text(path)
+    return path
+
+
+@query("fixed_width_lenient", "SELECT substr(n_name, 1, 4) AS a, substr(n_name, 5, 3) AS b FROM nation WHERE length(n_name) = 7")
+def fixed_width_lenient(spark: SparkSession, d: str) -> DataFrame:
+    return read_fixed_width(spark, _lines(spark, d), ["a", "b"], [4, 3], strict=False)
+
+
+@query("fixed_width_rejects", "SELECT 'Input records' AS name, count(*) AS value FROM nation UNION ALL SELECT 'Rejected records', count(*) FROM nation WHERE length(n_name) <> 7")
+def fixed_width_rejects(spark: SparkSession, d: str) -> DataFrame:
+    c = Counters()
+    NullSink().write(read_fixed_width(spark, _lines(spark, d), ["a", "b"], [4, 3], strict=False, counters=c))
+    return spark.createDataFrame([(x.name, x.value) for x in c.collect()], "name string, value bigint")
+
+
+@query("fixed_width_refusals", _checks_sql("strict_lines", "widths_and_fields", "no_sink"))
+def fixed_width_refusals(spark: SparkSession, d: str) -> DataFrame:
+    path = _lines(spark, d)
+    return _checks(
+        spark,
+        {
+            "strict_lines": _raises(ValueError, lambda: read_fixed_width(spark, path, ["a", "b"], [4, 3])),
+            "widths_and_fields": _raises(ValueError, lambda: read_fixed_width(spark, path, ["a", "b"], [4])),
+            "no_sink": _raises(NotImplementedError, write_fixed_width),
+        },
+    )
+
+
+@query("json_custom_reader", "SELECT lower(n_name) AS name, n_nationkey * 2 AS twice FROM nation")
+def json_custom_reader(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch(spark)}/objects"
+    write_object(table(spark, d, "nation"), "n_name", "n_nationkey", path, ["x"])
+    return read_object_with(spark, f"{path}/part-*", lambda k, v: (k.lower(), 2 * v), "name string, twice int", ["x"])
+
+
+@query("json_written_entry_by_entry", "SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS value FROM nation")
+def json_written_entry_by_entry(spark: SparkSession, d: str) -> DataFrame:
+    """A small table's rows, streamed to the driver and on to one packed file; values may be null."""
+    path = f"{scratch(spark)}/entries.json"
+    rows = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey"))).toLocalIterator()
+    write_entries(spark, path, ((r[0], r[1]) for r in rows), ["a", "b"], compress=True)
+    return read_object(spark, path, "int", ["a", "b"])
+
+
+@query("json_values", _checks_sql("read_is_written", "null_key_refused_local", "null_key_refused", "no_such_object"))
+def json_values(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark)
+    value = {"key1": "ignore", "key2": {"deepKey1": 1, "deepKey2": [1, {"x": None}]}}
+    write_json(spark, f"{folder}/one.json", value)
+    named = table(spark, d, "nation").select(F.when(F.col("n_nationkey") > 3, F.col("n_name")).alias("k"), "n_nationkey")
+    return _checks(
+        spark,
+        {
+            "read_is_written": read_json(spark, f"{folder}/one.json") == value,
+            "null_key_refused_local": _raises(ValueError, lambda: write_entries(spark, f"{folder}/bad.json", [(None, 1)])) and not Files(spark).exists(f"{folder}/bad.json"),
+            "null_key_refused": _raises(Exception, lambda: write_object(named, "k", "n_nationkey", f"{folder}/bad")),
+            "no_such_object": _raises(Exception, lambda: NullSink().write(read_object(spark, f"{folder}/one.json", "string", ["key1"]))),
+        },
+    )
+
+
+@query("dataset_roundtrip", "SELECT r_regionkey, r_name FROM region")
+def dataset_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    registry = DatasetRegistry(scratch(spark))
+    store = registry.add("regions", "/regions", "r_regionkey int, r_name string")
+    store.write(table(spark, d, "region"))
+    return registry["regions"].read(spark)
+
+
+@query("batched_reads", "SELECT count(*) AS n, true AS few FROM orders")
+def batched_reads_query(spark: SparkSession, d: str) -> DataFrame:
+    """Forty files are read as one partition, and as several where these may be small."""
+    path = f"{scratch(spark)}/many"
+    table(spark, d, "orders").repartition(40).write.parquet(path)
+    with batched_reads(spark, paths=[path]):
+        one = spark.read.parquet(path)
+        parts, n = one.rdd.getNumPartitions(), one.count()
+    with batched_reads(spark, min_batch=1, paths=[path]):
+        several = spark.read.parquet(path).rdd.getNumPartitions()
+    return spark.createDataFrame([(n, parts == 1 and several >= min(2, spark.sparkContext.defaultParallelism))], "n bigint, few boolean")
+
+
+@query("rows_written_and_read", "SELECT 1 AS k, 'a' AS v UNION ALL SELECT 2, NULL")
+def rows_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch(spark)}/rows"
+    write_rows(spark, [(1, "a"), (2, None)], "k int, v string", path)
+    return spark.createDataFrame(read_rows(spark, path, "k int, v string"), "k int, v string")
+
+
+@query("unique_partial", "SELECT DISTINCT o_custkey FROM orders")
+def unique_partial(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys out of bounded partials, which may emit a key several times."""
+    partial = combine_partial_bounded(table(spark, d, "orders"), ["o_custkey"], ["o_custkey"], lambda: None, lambda s, _: s, lambda s: (1,), "seen int", item_limit=100)
+    return partial.select("o_custkey").distinct()
+
+
+@query("trap_rows", "SELECT 'good' AS part, o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderkey % 7 <> 0 UNION ALL SELECT 'bad', o_orderkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'cheap', o_orderkey FROM orders WHERE o_totalprice <= 1000 AND o_orderkey % 7 <> 0")
+def trap_rows(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    good = trap_map(orders, ["o_orderkey"], lambda k: (1 // (k % 7),), "x bigint", f"{folder}/map")
+    dear = trap_where(good.drop("x"), F.col("o_totalprice") > 1000, f"{folder}/cheap")
+    bad = trapped(orders, f"{folder}/map").filter(F.col(ERROR).startswith("ZeroDivisionError"))
+    parts = {"good": dear, "bad": bad, "cheap": spark.read.parquet(f"{folder}/cheap")}
+    return stack([df.select(F.lit(name).alias("part"), "o_orderkey") for name, df in parts.items()])
+
+
+_TOOLING = ("caller_wins", "required_property", "forbidden_property", "job_names", "checkpoint_names", "steps_resume", "functions_are_checked", "recorder_is_told", "files", "trash_or_delete", "registry_names", "formats")
+
+
+@query("run_tooling", _checks_sql(*_TOOLING))
+def run_tooling(spark: SparkSession, d: str) -> DataFrame:
+    folder, told, built = scratch(spark), [], []
+
+    class Recorder(NoRecorder):
+        def on_finished(self, name: str, seconds: float, error: str | None) -> None:
+            told.append((name, error is None))
+
+    def build() -> DataFrame:
+        built.append(1)
+        return table(spark, d, "region")
+
+    runner = Runner(spark, recorder=Recorder())
+    steps = [runner.step("regions", build, folder).count() for _ in range(2)]
+    failed = _raises(ZeroDivisionError, lambda: runner.run("bad", lambda: 1 // 0))
+    files = Files(spark)
+    files.make_directory(f"{folder}/a")
+    files.write(f"{folder}/a/x", b"abc")
+    files.rename(f"{folder}/a/x", f"{folder}/a/y")
+    registry = DatasetRegistry(folder)
+    registry.add("n", "/n")
+    return _checks(
+        spark,
+        {
+            "caller_wins": merge_properties({"a": "1"}, {"a": "2"}) == {"a": "2"},
+            "required_property": _raises(ValueError, lambda: check_properties({}, {"queue": REQUIRED})),
+            "forbidden_property": _raises(ValueError, lambda: check_properties({"queue": "default"}, {"queue": "default"})),
+            "job_names": job_name("flow", 1, 2, ["/a/b", "/a/c"], ["/d"]) == "flow [(1/2) b, c] -> d" and leaf("/data/in/2020") == "in/2020",
+            "checkpoint_names": _raises(ValueError, lambda: checked_name("a b")),
+            "steps_resume": steps[0] == steps[1] and len(built) == 1,
+            "functions_are_checked": _raises(TypeError, lambda: check_serialises(lambda x, s=spark.sparkContext: s)),
+            "recorder_is_told": failed and told == [("regions", True), ("bad", False)],
+            "files": files.read(f"{folder}/a/y") == b"abc" and files.size(f"{folder}/a") == 3 and len(files.list(f"{folder}/a")) == 1,
+            "trash_or_delete": files.delete(f"{folder}/a", use_trash=True) and files.delete(f"{folder}/a") and not files.exists(f"{folder}/a"),
+            "registry_names": _raises(ValueError, lambda: registry.add("n", "/m")),
+            "formats": _raises(NotImplementedError, lambda: Dataset("x", folder, "/x", format="sequence")),
+        },
+    )

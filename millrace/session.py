@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
@@ -51,3 +53,28 @@ def build_session(
     check_properties(merged, rules or {})
     builder = SparkSession.builder.appName(app_name).config(map=merged)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that the driver and all executors share.
+
+    Where it is unset, as in tests, a local folder becomes it, but only if all
+    tasks run in this machine's one process; a cluster must name its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path that nothing has; what is written there goes when the driver ends, also after a failure."""
+    top = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(top)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{top}/{label}"

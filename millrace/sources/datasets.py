@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -12,7 +12,7 @@ from millrace.sources.files import Files
 
 #: Formats a dataset can have.
 FORMATS = ("parquet", "orc", "json", "csv", "text")
-#: Batched reading aims at partitions between these sizes.
+#: Batched reading aims at partitions between these sizes.
 MIN_BATCH, MAX_BATCH = 255 * 1024 * 1024, 765 * 1024 * 1024
 #: Most files of one partition, by the cost that opening one counts as.
 MAX_FILES = 2000
@@ -69,17 +69,26 @@ class DatasetRegistry:
 
 
 @contextmanager
-def batched_reads(spark: SparkSession, max_batch: int = MAX_BATCH, max_files: int = MAX_FILES) -> Iterator[None]:
+def batched_reads(spark: SparkSession, max_batch: int = MAX_BATCH, max_files: int = MAX_FILES, min_batch: int = MIN_BATCH, paths: Sequence[str] = ()) -> Iterator[None]:
     """Plans made *and run* inside pack small files into partitions of up to ``max_batch`` bytes and ``max_files`` files.
 
-    The file count is bounded by what opening a file counts as.
+    The file count is bounded by what opening a file counts as.  With the
+    ``paths`` that will be read there is a partition for every core, unless these
+    would have less than ``min_batch`` bytes; without, partitions are full.
     """
-    keys = {"spark.sql.files.maxPartitionBytes": str(max_batch), "spark.sql.files.openCostInBytes": str(max(1, max_batch // max_files))}
-    before = {k: spark.conf.get(k) for k in keys}
+    if not 0 < min_batch <= max_batch:
+        raise ValueError("the least batch must be positive and no more than the most")
+    total = sum(Files(spark).size(p) for p in paths)
+    least = max(1, min(spark.sparkContext.defaultParallelism, total // min_batch))
+    keys = {"spark.sql.files.maxPartitionBytes": str(max_batch), "spark.sql.files.openCostInBytes": str(max(1, max_batch // max_files)), "spark.sql.files.minPartitionNum": str(least)}
+    before = {k: spark.conf.get(k, None) for k in keys}
     try:
         for k, v in keys.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

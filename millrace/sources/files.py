@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import SparkSession
@@ -87,3 +87,18 @@ class Files:
         stream = self._fs(path).create(self._path(path), True)
         with contextlib.closing(stream):
             stream.write(data)
+
+    @contextlib.contextmanager
+    def writing(self, path: str) -> Iterator[Callable[[bytes], None]]:
+        """A function that appends to a new file; what is there replaces ``path`` at the end, and goes on an error."""
+        at = f"{path}.{uuid.uuid4().hex}"
+        stream = self._fs(path).create(self._path(at), True)
+        try:
+            yield stream.write
+        except BaseException:
+            stream.close()
+            self.delete(at)
+            raise
+        stream.close()
+        self.delete(path)
+        self.rename(at, path)

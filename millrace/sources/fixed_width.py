@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.metrics import INPUT, REJECTED, Counters
+
 
 def check_layout(fields: Sequence[str], widths: Sequence[int]) -> None:
     if len(fields) != len(widths):
@@ -25,12 +27,12 @@ def split_fixed_width(lines: DataFrame, fields: Sequence[str], widths: Sequence[
     return lines.select(*out)
 
 
-def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[str], widths: Sequence[int], charset: str = "UTF-8", strict: bool = True) -> DataFrame:
+def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[str], widths: Sequence[int], charset: str = "UTF-8", strict: bool = True, counters: Counters | None = None) -> DataFrame:
     """Read lines of fixed-width string columns.
 
     Strict: lines of another length raise, at once, in a pass that only counts
     them (a check inside the plan would be pruned away with its column).
-    Lenient: they are skipped.
+    Lenient: they are skipped, and counted if ``counters`` are given.
     """
     check_layout(fields, widths)
     if charset.upper().replace("_", "-") in ("UTF-8", "UTF8", "US-ASCII"):
@@ -42,6 +44,8 @@ def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[str], widt
         if bad := lines.filter(~fits).count():
             raise ValueError(f"{bad} lines of {path} don't have {sum(widths)} characters")
         return split_fixed_width(lines, fields, widths)
+    if counters is not None:
+        lines = counters.observe(lines, {("FixedWidth", INPUT): F.count(F.lit(1)), ("FixedWidth", REJECTED): F.count_if(~fits)})
     return split_fixed_width(lines.filter(fits), fields, widths)
 
 

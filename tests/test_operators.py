@@ -160,6 +160,32 @@ def test_multi_aggregate(spark):
         AggregationSpec("x", ["a"], [total("b", "a")])
 
 
+def test_multi_aggregate_of_group_columns(spark):
+    """A column is summed by one definition and grouped by in another; names of intermediates are group columns elsewhere."""
+    df = spark.createDataFrame([(1, 2, "x"), (1, 3, "x"), (2, 5, None), (None, 7, None)], "a int, count int, c string")
+    specs = [AggregationSpec("s", ["c"], [total("a", "sa")]), AggregationSpec("t", ["a"], [average("count", "s", "n", "mean")]), AggregationSpec("u", ["count"], [count_rows("k")]), AggregationSpec("w", [], [total("a", "all"), average("a", "s", "n", "mean")])]
+    for first in (False, True):
+        got = {name: rows(tail) for name, tail in multi_aggregate_tails(df, specs[:2] + specs[3:], reduce_first=first).items()}
+        assert got == {"s": [("x", 2), (None, 2)], "t": [(1, 5, 2, 2.5), (2, 5, 1, 5.0), (None, 7, 1, 7.0)], "w": [(4, 4, 3, 4 / 3)]}
+        assert rows(multi_aggregate_tails(df, specs[2:3], reduce_first=first)["u"]) == [(2, 1), (3, 1), (5, 1), (7, 1)]
+    assert rows(multi_aggregate(df, specs[3:]).select("all", "n")) == [(4, 3)]
+    assert multi_aggregate(df.limit(0), specs[:2]).count() == 0
+
+
+def test_useless_and_large_filters(spark):
+    a, b = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 1000, 2).withColumnRenamed("id", "j")
+    small = BloomSettings(max_bits=64, force=False)
+    assert semi_filter(a, "k", b, "j", exact=False, bloom=small).count() == 1000
+    assert "might_contain" not in key_join(a, "k", b, "j", bloom=BloomSettings())._jdf.queryExecution().toString()
+    forced = key_join(a, "k", b, "j", bloom=BloomSettings(force=True))
+    assert "might_contain" in forced._jdf.queryExecution().toString() and forced.count() == 500
+    assert semi_filter(a, "k", b.limit(0), "j", exact=False).count() == 0
+    with pytest.raises(ValueError):
+        BloomSettings(num_bits=1 << 30)
+    c, e = (spark.range(5).select(F.col("id").cast(t).alias("k")) for t in ("decimal(10,2)", "decimal(12,4)"))
+    assert semi_filter(c, "k", e, "k", exact=False).count() == 5 and key_join(c, "k", e, "k", bloom=BloomSettings(force=True)).count() == 5
+
+
 def test_name_id():
     assert name_id("") == 0 and name_id("Aa") == name_id("BB") == 2112 and name_id("polygenelubricants") == -(2**31)
 

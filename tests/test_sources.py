@@ -11,7 +11,7 @@ from millrace.operators.metrics import Counters
 from millrace.sources.datasets import DatasetRegistry, batched_reads
 from millrace.sources.files import Files
 from millrace.sources.fixed_width import read_fixed_width, write_fixed_width
-from millrace.sources.json_objects import read_json, read_object, read_object_with, write_entries, write_json, write_object
+from millrace.sources.json_objects import JsonObjectWriter, entries_of, read_json, read_object, read_object_with, write_entries, write_json, write_object
 from millrace.sources.sinks import NullSink
 from millrace.streaming import partials_stream
 
@@ -51,6 +51,32 @@ def test_json(spark, tmp_path):
     assert sorted(map(tuple, read_object(spark, str(tmp_path / "objects") + "/part-*", "int", ["a"]).collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_entries_are_read_one_by_one():
+    text = ' {"skip" : {"x":[1,{"y":2}]}, "in" : { "a" : 1 , "b":"}{\\"", "c": {"d": null}, "e":[ ] } , "later": 3} '
+    assert [(k, t) for k, t, _ in entries_of(text, ["in"])] == [("a", "1"), ("b", '"}{\\""'), ("c", '{"d": null}'), ("e", "[ ]")]
+    assert [k for k, _, _ in entries_of(text)] == ["skip", "in", "later"] and list(entries_of("{}")) == [] and list(entries_of('{"a":{}}', ["a"])) == []
+    first = next(entries_of('{"a":1,"b":', []))
+    assert first[0] == "a"
+    for bad, inside in (("[1]", []), ('{"a":1', []), ('{"a":1}', ["a"]), ('{"a":1}', ["b"]), ("", []), ('{"a" 1}', [])):
+        with pytest.raises(ValueError):
+            list(entries_of(bad, inside))
+
+
+def test_json_nulls_and_failures(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), ("b", [1, None]), ("c\"}", [])], "k string, v array<int>")
+    write_object(df, "k", "v", str(tmp_path / "nulls"))
+    assert sorted(map(tuple, read_object(spark, f"{tmp_path}/nulls/part-*", "array<int>").collect())) == [("a", None), ("b", [1, None]), ('c"}', [])]
+    with pytest.raises(ValueError), JsonObjectWriter(spark, f"{tmp_path}/half.json") as out:
+        out.write("a", 1)
+        out.write(None, 2)
+    assert [p.name for p in tmp_path.iterdir() if "half" in p.name and not p.name.endswith(".crc")] == []
+    with JsonObjectWriter(spark, f"{tmp_path}/large.json", compress=True) as out:
+        for i in range(200_000):
+            out.write(f"key {i}", "x" * 10)
+            assert out._size <= 1 << 21
+    assert read_object(spark, f"{tmp_path}/large.json", "string").count() == 200_000
+
+
 def test_datasets_and_files(spark, tmp_path):
     registry = DatasetRegistry(str(tmp_path))
     store = registry.add("numbers", "/numbers", "id bigint")
