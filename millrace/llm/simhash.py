@@ -75,7 +75,7 @@ class Scheme:
 NEAR_COPIES = Scheme(shingle=5, bits=256, radius=61, segments=16, segment_bits=16, similarity=0.8)
 #: The share of pairs at the similarity itself that the segments should find, and unlike texts that a text may meet in
 #: them by chance, on average.
-RECALL, MEETINGS = 0.95, 1000
+RECALL, MEETINGS = 0.97, 1000
 
 
 def expected_recall(similarity: float, bits: int, segment_bits: int, segments: int) -> float:

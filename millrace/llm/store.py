@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
-
+from millrace.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, as in tests, a local folder becomes it, but only if all
-    tasks run in this machine's one process; a cluster must name its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+_made: list[str] = []
 
 
 def _file_system(spark: SparkSession, path: str):
