@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.arrow import byte_values, column, row_slices, whole_groups
-from millrace.llm.store import materialized
+from millrace.llm.store import materialized, passing
 
 #: Bytes of text whose anchors are found at once.
 CHUNK = 1 << 17
@@ -327,11 +327,13 @@ def remove_repeats(docs: DataFrame, text: str, length: int = 400, most: int = AN
     names = [c for c in docs.columns if c.lower() not in ("kept", "removed")]
     plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(plain.alias("text")).select("text", *text_names("text"))
-    found = materialized(occurrences(texts, length), "occurrences")
-    spans = repeated_contexts(found, texts, length, most)
-    hits = found.join(spans, ["c1", "c2"]).select("t1", "t2", "start", "size", "step", "times", "spans").dropDuplicates(["t1", "t2", "start"])
-    # Written, so that the join below reads both sides from shuffles of its own and AQE may split a text with many copies.
-    per_text = materialized(hits.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "size", "step", "times", "spans")).alias("hits")), "hits")
+    with passing(docs.sparkSession) as stay:
+        found = materialized(occurrences(texts, length), "occurrences")
+        spans = repeated_contexts(found, texts, length, most)
+        hits = found.join(spans, ["c1", "c2"]).select("t1", "t2", "start", "size", "step", "times", "spans").dropDuplicates(["t1", "t2", "start"])
+        # Written, so that the join below reads both sides from shuffles of its own and AQE may split a text with many copies.
+        per_text = materialized(hits.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "size", "step", "times", "spans")).alias("hits")), "hits")
+        stay.append(per_text)
     named = docs.select(*[F.col(f"`{c}`") for c in names], plain.alias("__text")).withColumns({"__t1": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(7), F.col("__text"))})
     joined = named.join(per_text, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left").drop("t1", "t2", "__t1", "__t2")
     schema = joined.select(*[F.col(f"`{c}`") for c in names]).schema.add("kept", T.BinaryType()).add("removed", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType())))

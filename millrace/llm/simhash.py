@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrow import add_columns, byte_values, column, whole_groups
 from millrace.llm.components import connected_components, join_labels
-from millrace.llm.store import materialized
+from millrace.llm.store import materialized, passing
 
 #: Rows of a table key that one task compares at once; a larger key is split into blocks, pair by pair.
 KEY_ROWS = 20_000
@@ -416,10 +416,12 @@ def drop_near_copies(docs: DataFrame, key: str, text: str, scheme: Scheme = NEAR
     """
     every = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"])
     marked = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), every.alias("row"))
-    fps = materialized(fingerprints(marked, "text", scheme).withColumn("body", F.xxhash64("text")).select("id", "row", "body", *scheme.node), "fingerprints")
-    found = _components(fps, sized(scheme, fps.count()), marked.select("id", "text"), KEY_ROWS)
-    kept = found.filter("id = component").groupBy("id", "body", "row").agg(F.count(F.lit(1)).alias("times")).groupBy("id", "body").agg(F.min(F.struct("row", "times")).alias("it"))
-    kept = materialized(kept.select(F.col("id").alias("__id"), F.col("it.row").alias("__row"), F.col("it.times").alias("__times")), "kept")
+    with passing(docs.sparkSession) as stay:
+        fps = materialized(fingerprints(marked, "text", scheme).withColumn("body", F.xxhash64("text")).select("id", "row", "body", *scheme.node), "fingerprints")
+        found = _components(fps, sized(scheme, fps.count()), marked.select("id", "text"), KEY_ROWS)
+        kept = found.filter("id = component").groupBy("id", "body", "row").agg(F.count(F.lit(1)).alias("times")).groupBy("id", "body").agg(F.min(F.struct("row", "times")).alias("it"))
+        kept = materialized(kept.select(F.col("id").alias("__id"), F.col("it.row").alias("__row"), F.col("it.times").alias("__times")), "kept")
+        stay.append(kept)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumns({"__own": F.col(f"`{key}`").cast("bigint"), "__mark": every}).filter("__own IS NOT NULL")
 

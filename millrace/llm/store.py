@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import shared_folder
 
 _made: list[str] = []
+#: Folders made in the innermost :func:`passing` block of this thread.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -23,6 +28,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     files.mkdirs(at)
     files.deleteOnExit(at)
     _made.append(top)
+    if (inner := _passing.get()) is not None:
+        inner.append(top)
     return f"{top}/{label}"
 
 
@@ -35,6 +42,30 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables made inside are deleted at the end, but for those put into the list; nothing lazy may read the others then.
+
+    After an error all go.
+    """
+    inner: list[str] = []
+    kept: list[DataFrame] = []
+    token = _passing.set(inner)
+    try:
+        yield kept
+    except BaseException:
+        kept = []
+        raise
+    finally:
+        _passing.reset(token)
+        stays = {df._written.rpartition("/")[0] for df in kept}
+        for path in set(inner) - stays:
+            files, at = _file_system(spark, path)
+            files.delete(at, True)
+        if (outer := _passing.get()) is not None:
+            outer.extend(stays)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialized` that nothing will read again; others are left alone."""
     for df in tables:
