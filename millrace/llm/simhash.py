@@ -213,6 +213,8 @@ def table_rows(fps: DataFrame, scheme: Scheme) -> DataFrame:
 def ball_pairs(at: np.ndarray, bits: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions of a sorted array whose values are equal or differ in one of the low ``bits``, in blocks."""
     n = len(at)
+    if not n:
+        return
     edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
     values = at[edges[:-1]]
     for flip in [0, *[1 << k for k in range(bits)]]:
