@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +23,43 @@ def key_columns(keys: Sequence[str | Column], types: Sequence[str] | None = None
     return [c.cast(t) for c, t in zip(cols, types, strict=True)] if types else cols
 
 
-def bit_index(keys: Sequence[Column], i: int, num_bits: int) -> Column:
+@dataclass(frozen=True)
+class HashFunction:
+    """A family of 64-bit hashes of key tuples, one per seed; stored filters carry its ``name`` (ASCII, 16 characters at most)."""
+
+    name: str
+    hashed: Callable[[Sequence[Column], int], Column]
+
+    def __post_init__(self) -> None:
+        if not 0 < len(self.name) <= 16 or not self.name.isascii():
+            raise ValueError("a hash function's name has 1 to 16 ASCII characters")
+
+
+XXHASH64 = HashFunction("xxhash64", lambda keys, seed: F.xxhash64(*keys, F.lit(seed)))
+#: Two 32-bit hashes, with the seed after and before the keys.
+MURMUR3 = HashFunction(
+    "murmur3",
+    lambda keys, seed: F.shiftleft(F.hash(*keys, F.lit(seed)).cast("bigint"), 32).bitwiseOR(F.hash(F.lit(seed), *keys).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))),
+)
+_FUNCTIONS = {f.name: f for f in (XXHASH64, MURMUR3)}
+
+
+def register_hash(function: HashFunction) -> HashFunction:
+    """Make a function known to filters that were stored under its name; a name is given once."""
+    if _FUNCTIONS.setdefault(function.name, function) is not function:
+        raise ValueError(f"there is another hash function {function.name}")
+    return function
+
+
+def hash_function(name: str) -> HashFunction:
+    if name not in _FUNCTIONS:
+        raise ValueError(f"no hash function {name} is known")
+    return _FUNCTIONS[name]
+
+
+def bit_index(keys: Sequence[Column], i: int, num_bits: int, function: HashFunction = XXHASH64) -> Column:
     """The i-th bit of a key tuple; null as soon as one key is null."""
-    hashed = F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(num_bits).cast("bigint"))
+    hashed = F.pmod(function.hashed(keys, i), F.lit(num_bits).cast("bigint"))
     present = keys[0].isNotNull()
     for k in keys[1:]:
         present = present & k.isNotNull()

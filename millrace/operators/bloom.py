@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import bit_index, bits_for, false_positive_rate, key_columns, optimal_hashes
+from millrace.functions.hashing import XXHASH64, HashFunction, bit_index, bits_for, false_positive_rate, hash_function, key_columns, optimal_hashes
 
 #: Most bits that one bitset can have: 8 per byte of the largest array.
 MAX_BITS = 8 * (2**31 - 1)
@@ -30,7 +30,8 @@ class BloomSettings:
     filter is broadcast).  The number of hashes is the best for that size.  A
     join leaves a filter out that can't pay: where Spark broadcasts the small
     side, so that the large one isn't shuffled, and where more than ``useless``
-    of the strangers would pass; ``force`` keeps it.
+    of the strangers would pass; ``force`` keeps it.  ``function`` is the hash
+    function; one of the caller's own must be registered.
     """
 
     num_bits: int | None = None
@@ -41,6 +42,7 @@ class BloomSettings:
     count_error: float = 0.01
     useless: float = 0.5
     force: bool = False
+    function: HashFunction = XXHASH64
 
     def __post_init__(self) -> None:
         if self.num_bits is not None and not 0 < self.num_bits <= self.max_bits:
@@ -125,18 +127,18 @@ class BitSet:
 class BloomFilter:
     """A filter over key tuples, filled from a DataFrame by :func:`build_bloom`.
 
-    Bits are chosen by ``pmod(xxhash64(keys..., i), num_bits)``, which Spark
+    Bits are chosen by the hash function modulo ``num_bits``, which Spark
     computes; the object itself only holds, merges and stores them.
     """
 
-    HASH_ID = "xxhash64"
-    _HEAD = struct.Struct("<4sIQQ")
+    _HEAD = struct.Struct("<4sIQQ16s")
 
-    def __init__(self, num_bits: int, num_hashes: int, bits: BitSet | None = None, num_keys: int = 0):
+    def __init__(self, num_bits: int, num_hashes: int, bits: BitSet | None = None, num_keys: int = 0, function: HashFunction = XXHASH64):
         if num_hashes < 1:
             raise ValueError("at least one hash is needed")
         self.num_bits, self.num_hashes, self.num_keys = num_bits, num_hashes, num_keys
         self.bits = bits or BitSet(num_bits)
+        self.function = function
 
     def false_positive_rate(self) -> float:
         return false_positive_rate(self.num_hashes, self.num_bits, self.num_keys)
@@ -153,7 +155,7 @@ class BloomFilter:
         return all(self.bits.get(i) for i in indices)
 
     def _same(self, other: BloomFilter) -> None:
-        if (other.num_bits, other.num_hashes, other.HASH_ID) != (self.num_bits, self.num_hashes, self.HASH_ID):
+        if (other.num_bits, other.num_hashes, other.function.name) != (self.num_bits, self.num_hashes, self.function.name):
             raise ValueError("filters differ in size, hashes or hash function")
 
     def union(self, other: BloomFilter) -> BloomFilter:
@@ -161,24 +163,25 @@ class BloomFilter:
         self._same(other)
         bits = BitSet(self.num_bits, self.bits.to_bytes())
         bits.or_(other.bits)
-        return BloomFilter(self.num_bits, self.num_hashes, bits, self.num_keys + other.num_keys)
+        return BloomFilter(self.num_bits, self.num_hashes, bits, self.num_keys + other.num_keys, self.function)
 
     def intersection(self, other: BloomFilter) -> BloomFilter:
         """Keys of both, and some more; their number is at most the smaller one."""
         self._same(other)
         bits = BitSet(self.num_bits, self.bits.to_bytes())
         bits.and_(other.bits)
-        return BloomFilter(self.num_bits, self.num_hashes, bits, min(self.num_keys, other.num_keys))
+        return BloomFilter(self.num_bits, self.num_hashes, bits, min(self.num_keys, other.num_keys), self.function)
 
     def to_bytes(self) -> bytes:
-        return self._HEAD.pack(b"MRBF", self.num_hashes, self.num_bits, self.num_keys) + self.bits.to_bytes()
+        return self._HEAD.pack(b"MRB2", self.num_hashes, self.num_bits, self.num_keys, self.function.name.encode()) + self.bits.to_bytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> BloomFilter:
-        magic, hashes, bits, keys = cls._HEAD.unpack_from(data)
-        if magic != b"MRBF":
+        """The stored filter; its hash function must be known here."""
+        if data[:4] != b"MRB2" or len(data) < cls._HEAD.size:
             raise ValueError("not a stored Bloom filter")
-        return cls(bits, hashes, BitSet(bits, data[cls._HEAD.size :]), keys)
+        _, hashes, bits, keys, name = cls._HEAD.unpack_from(data)
+        return cls(bits, hashes, BitSet(bits, data[cls._HEAD.size :]), keys, hash_function(name.rstrip(b"\0").decode()))
 
 
 def approximate_count(hashes: Column, error: float) -> Column:
@@ -186,10 +189,10 @@ def approximate_count(hashes: Column, error: float) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(hashes, min(21, max(4, math.ceil(2 * math.log2(1.04 / error))))))
 
 
-def bloom_table(df: DataFrame, keys: Sequence[str], num_bits: int, num_hashes: int, types: Sequence[str] | None = None) -> DataFrame:
+def bloom_table(df: DataFrame, keys: Sequence[str], num_bits: int, num_hashes: int, types: Sequence[str] | None = None, function: HashFunction = XXHASH64) -> DataFrame:
     """The set bits as (bucket, bits) rows, built where the keys are and merged by one small shuffle."""
     cols = key_columns(keys, types)
-    indices = F.array(*[bit_index(cols, i, num_bits) for i in range(num_hashes)])
+    indices = F.array(*[bit_index(cols, i, num_bits, function) for i in range(num_hashes)])
     at = df.select(F.explode(indices).alias("i")).filter("i IS NOT NULL")
     return at.groupBy(F.floor(F.col("i") / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.col("i") % _BUCKET).alias("bits"))
 
@@ -207,10 +210,10 @@ def build_bloom(df: DataFrame, keys: str | Sequence[str], settings: BloomSetting
     bits = settings.num_bits or bits_for(n, settings.rate, settings.max_bits)
     _, hashes = optimal_hashes(bits, max(n, 1), settings.min_hashes, settings.max_hashes)
     data = np.zeros((bits + 7) // 8 + _BUCKET // 8, np.uint8)
-    for row in bloom_table(df, keys, bits, hashes, types).collect():
+    for row in bloom_table(df, keys, bits, hashes, types, settings.function).collect():
         at = row["bucket"] * (_BUCKET // 8)
         data[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)[: len(data) - at]
-    return BloomFilter(bits, hashes, BitSet(bits, data[: (bits + 7) // 8].tobytes()), n)
+    return BloomFilter(bits, hashes, BitSet(bits, data[: (bits + 7) // 8].tobytes()), n, settings.function)
 
 
 def might_contain(df: DataFrame, keys: str | Sequence[str], bloom: BloomFilter, types: Sequence[str] | None = None) -> Column:
@@ -232,17 +235,19 @@ def might_contain(df: DataFrame, keys: str | Sequence[str], bloom: BloomFilter,
             out = hit if out is None else out & hit
         return pd.Series(out)
 
-    return test(*[bit_index(cols, i, bloom.num_bits) for i in range(bloom.num_hashes)])
+    return test(*[bit_index(cols, i, bloom.num_bits, bloom.function) for i in range(bloom.num_hashes)])
 
 
 def runtime_filter(small: DataFrame, keys: Sequence[str], settings: BloomSettings, types: Sequence[str]) -> Callable[[DataFrame, Sequence[str]], Column] | None:
     """A condition on another table's keys that keeps all of ``small``'s and few others; None if too many others would pass.
 
     Built and tested by Spark's own Bloom filter, which runs inside generated
-    code; only a size fixed by the caller takes the filter above.  Null keys don't pass.
+    code; only a size or a hash function of the caller's takes the filter above.  Null keys don't pass.
     """
-    if settings.num_bits is not None:
+    if settings.num_bits is not None or settings.function is not XXHASH64:
         built = build_bloom(small, keys, settings, types)
+        if settings.num_bits is None and built.false_positive_rate() > settings.useless and not settings.force:
+            return None
         return lambda df, names: might_contain(df, names, built, types)
     cols = key_columns(keys, types)
     n = small.select(approximate_count(F.xxhash64(*cols), settings.count_error)).first()[0]

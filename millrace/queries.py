@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import false_positive_rate, name_id, optimal_hashes
+from millrace.examples import bloom_join, counted_steps, own_settings
+from millrace.functions.binary import compare_bytes, in_byte_order, row_bytes, row_from_bytes
+from millrace.functions.hashing import MURMUR3, XXHASH64, HashFunction, false_positive_rate, hash_function, name_id, optimal_hashes, register_hash
 from millrace.operators import aggregates as A
 from millrace.operators.bloom import BitSet, BloomFilter, BloomSettings, build_bloom, might_contain
 from millrace.operators.cogroup import multi_group, multi_group_apply
@@ -744,3 +746,75 @@ def run_tooling(spark: SparkSession, d: str) -> DataFrame:
             "formats": _raises(NotImplementedError, lambda: Dataset("x", folder, "/x", format="sequence")),
         },
     )
+
+
+# Hash functions, bytes, examples
+
+
+_HASH_CHECKS = ("members_are_found", "most_strangers_are_not", "functions_must_agree", "function_is_stored", "unknown_is_refused", "name_is_given_once")
+
+
+@query("hash_functions", _checks_sql(*_HASH_CHECKS))
+def hash_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Filters of the orders' even keys by another hash function than the usual one."""
+    keys = table(spark, d, "orders").select("o_orderkey")
+    even, odd = keys.filter("o_orderkey % 2 = 0"), keys.filter("o_orderkey % 2 = 1")
+    settings = BloomSettings(function=MURMUR3)
+    built = build_bloom(even, "o_orderkey", settings)
+    passing = odd.filter(might_contain(odd, "o_orderkey", built)).count()
+    other = BloomFilter(built.num_bits, built.num_hashes)
+    return _checks(
+        spark,
+        {
+            "members_are_found": semi_filter(keys, "o_orderkey", even, "o_orderkey", exact=False, bloom=settings).filter("o_orderkey % 2 = 0").count() == even.count(),
+            "most_strangers_are_not": passing <= 0.1 * odd.count(),
+            "functions_must_agree": _raises(ValueError, lambda: built.union(other)),
+            "function_is_stored": BloomFilter.from_bytes(built.to_bytes()).function is MURMUR3 and BloomFilter.from_bytes(other.to_bytes()).function is XXHASH64,
+            "unknown_is_refused": _raises(ValueError, lambda: hash_function("md5")),
+            "name_is_given_once": _raises(ValueError, lambda: register_hash(HashFunction("murmur3", lambda keys, seed: F.xxhash64(*keys)))),
+        },
+    )
+
+
+@query("row_bytes", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def row_bytes_query(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as bytes and back."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return orders.select(row_bytes(orders.columns).alias("data")).select(row_from_bytes("data", orders.schema).alias("r")).select("r.*")
+
+
+_BYTES = "(SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey * 7 % 256 END AS k FROM customer)"
+
+
+@query("byte_compare", f"SELECT c_custkey, CAST(CASE WHEN k IS NULL OR k < 128 THEN -1 WHEN k = 128 THEN 0 ELSE 1 END AS INTEGER) AS against FROM {_BYTES}")
+def byte_compare(spark: SparkSession, d: str) -> DataFrame:
+    """A byte of each customer's key against 0x80, the lowest one that is negative if signed."""
+    return _bytes(spark, d).select("c_custkey", compare_bytes("k", F.unhex(F.lit("80"))).alias("against"))
+
+
+@query("byte_order", f"SELECT printf('%02X', k) AS k, c_custkey FROM {_BYTES} WHERE k >= 126 ORDER BY k, c_custkey LIMIT 20")
+def byte_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 customers in byte order from 0x7E on (a top-k report), which reach 0x80 and more."""
+    return in_byte_order(_bytes(spark, d).filter(compare_bytes("k", F.unhex(F.lit("7e"))) >= 0), "k", "c_custkey").limit(20).select(F.hex("k").alias("k"), "c_custkey")
+
+
+def _bytes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.unhex(F.lpad(F.hex(F.col("c_custkey") * 7 % 256), 2, "0"))).alias("k"))
+
+
+_EXAMPLES = ("bloom_join_rows", "counted_steps_report", "own_settings_apply")
+
+
+@query("examples", _checks_sql(*_EXAMPLES))
+def examples(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark)
+    joined = bloom_join.run(spark, f"{folder}/joined")
+    steps = counted_steps.run(spark, f"{folder}/counted")
+    return _checks(
+        spark,
+        {
+            "bloom_join_rows": sorted((r.name, r.place) for r in joined.collect()) == [("ada", "harbour"), ("ada", "museum"), ("cleo", "tower")],
+            "counted_steps_report": "known - Removed records" in steps and spark.read.parquet(f"{folder}/counted").count() == 2,
+            "own_settings_apply": own_settings.PROPERTIES["spark.sql.shuffle.partitions"] == "4" and _raises(ValueError, lambda: check_properties({}, own_settings.RULES)),
+        },
+    )

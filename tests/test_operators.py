@@ -28,7 +28,8 @@ from millrace import (
     total,
     transformed,
 )
-from millrace.functions.hashing import false_positive_rate, name_id, optimal_hashes
+from millrace.functions.binary import compare_bytes, row_bytes, row_from_bytes
+from millrace.functions.hashing import HashFunction, false_positive_rate, name_id, optimal_hashes
 from millrace.operators.bloom import BloomSettings
 from millrace.operators.combine import EvictionError
 from millrace.operators.metrics import report
@@ -246,3 +247,25 @@ def test_row_operators(spark):
     df = spark.createDataFrame([(x,) for x in "123456"], "x string").coalesce(1)
     assert [r[0] for r in batch_map(df, "x", lambda v: [f"{i}-{len(v)}" for i in v], "out", "string", 4).collect()] == ["1-4", "2-4", "3-4", "4-4", "5-2", "6-2"]
     assert rename_in_place(spark.createDataFrame([(3, 4)], "key int, num int"), ["key", "num"], "key", "key2").columns == ["key2", "num"]
+
+
+def test_rows_as_bytes(spark):
+    df = spark.sql("SELECT 1 AS `a.b`, 0.1D AS x, CAST(NULL AS STRING) AS s, TIMESTAMP'2020-02-29 01:02:03.000004' AS t, X'00ff' AS b, 1.10BD AS d, array(named_struct('k', 1L)) AS n UNION ALL SELECT NULL, double('NaN'), '', NULL, X'', -1.25BD, NULL")
+    back = df.select(row_bytes(df.columns).alias("data")).select(row_from_bytes("data", df.schema).alias("r")).select("r.*")
+    assert repr(rows(back)) == repr(rows(df))
+    assert df.select(row_bytes([]).alias("e")).first().e == b"{}"
+    with pytest.raises(Exception, match="MALFORMED"):
+        spark.sql("SELECT X'7b' AS data").select(row_from_bytes("data", df.schema)).collect()
+
+
+def test_bytes_compare(spark):
+    df = spark.sql("SELECT * FROM VALUES (X'01', X'0100', -1), (X'80', X'7f', 1), (X'', X'', 0), (NULL, X'', -1), (X'', NULL, 1), (NULL, NULL, 0) AS t(a, b, want)")
+    assert df.filter(compare_bytes("a", "b") != F.col("want")).count() == 0
+
+
+def test_hash_function_names():
+    for name in ("", "x" * 17):
+        with pytest.raises(ValueError):
+            HashFunction(name, lambda keys, seed: F.xxhash64(*keys))
+    with pytest.raises(ValueError):
+        BloomFilter.from_bytes(b"MRBF")
