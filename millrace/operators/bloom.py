@@ -128,7 +128,10 @@ class BloomFilter:
     """A filter over key tuples, filled from a DataFrame by :func:`build_bloom`.
 
     Bits are chosen by the hash function modulo ``num_bits``, which Spark
-    computes; the object itself only holds, merges and stores them.
+    computes; the object itself only holds, merges and stores them.  The i-th
+    bit of a key doesn't depend on the number of hashes, so filters of one size
+    and function merge whatever that number, which :func:`build_bloom` fits to
+    the keys: the result tests as many hashes as both have.
     """
 
     _HEAD = struct.Struct("<4sIQQ16s")
@@ -141,7 +144,8 @@ class BloomFilter:
         self.function = function
 
     def false_positive_rate(self) -> float:
-        return false_positive_rate(self.num_hashes, self.num_bits, self.num_keys)
+        """By the number of keys, or by the bits set if those say more: keys put in with more hashes than are tested have set more bits."""
+        return max(false_positive_rate(self.num_hashes, self.num_bits, self.num_keys), (self.bits.count() / self.num_bits) ** self.num_hashes)
 
     def add_indices(self, indices: Sequence[int]) -> None:
         """Add one key, given by the bits that its hashes choose."""
@@ -152,25 +156,25 @@ class BloomFilter:
         self.num_keys += 1
 
     def test_indices(self, indices: Sequence[int]) -> bool:
-        return all(self.bits.get(i) for i in indices)
+        """Whether the key may be in; of more indices than hashes the first ones count."""
+        if len(indices) < self.num_hashes:
+            raise ValueError("as many indices as hashes are needed")
+        return all(self.bits.get(i) for i in indices[: self.num_hashes])
 
-    def _same(self, other: BloomFilter) -> None:
-        if (other.num_bits, other.num_hashes, other.function.name) != (self.num_bits, self.num_hashes, self.function.name):
-            raise ValueError("filters differ in size, hashes or hash function")
+    def _merged(self, other: BloomFilter, merge: Callable[[BitSet, BitSet], None], num_keys: int) -> BloomFilter:
+        if (other.num_bits, other.function.name) != (self.num_bits, self.function.name):
+            raise ValueError("filters differ in size or hash function")
+        bits = BitSet(self.num_bits, self.bits.to_bytes())
+        merge(bits, other.bits)
+        return BloomFilter(self.num_bits, min(self.num_hashes, other.num_hashes), bits, num_keys, self.function)
 
     def union(self, other: BloomFilter) -> BloomFilter:
         """Keys of either; their number is at most the sum."""
-        self._same(other)
-        bits = BitSet(self.num_bits, self.bits.to_bytes())
-        bits.or_(other.bits)
-        return BloomFilter(self.num_bits, self.num_hashes, bits, self.num_keys + other.num_keys, self.function)
+        return self._merged(other, BitSet.or_, self.num_keys + other.num_keys)
 
     def intersection(self, other: BloomFilter) -> BloomFilter:
         """Keys of both, and some more; their number is at most the smaller one."""
-        self._same(other)
-        bits = BitSet(self.num_bits, self.bits.to_bytes())
-        bits.and_(other.bits)
-        return BloomFilter(self.num_bits, self.num_hashes, bits, min(self.num_keys, other.num_keys), self.function)
+        return self._merged(other, BitSet.and_, min(self.num_keys, other.num_keys))
 
     def to_bytes(self) -> bytes:
         return self._HEAD.pack(b"MRB2", self.num_hashes, self.num_bits, self.num_keys, self.function.name.encode()) + self.bits.to_bytes()

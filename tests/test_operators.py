@@ -209,6 +209,26 @@ def test_bloom(spark):
         a.union(BloomFilter(32, 1))
 
 
+def test_filters_of_different_tables_merge(spark):
+    """One size, tables of 20 and of 2,000 keys: the best number of hashes differs."""
+    keys = spark.range(2010).withColumnRenamed("id", "k")
+    few, many = (build_bloom(keys.filter(f), "k", BloomSettings(num_bits=4096)) for f in ("k < 20", "k >= 10"))
+    assert (few.num_hashes, many.num_hashes) == (4, 1)
+    for a, b in ((few, many), (many, few)):
+        both = BloomFilter.from_bytes(a.union(b).to_bytes())
+        assert keys.filter(might_contain(keys, "k", both)).count() == 2010
+        common = keys.filter(might_contain(keys, "k", a.intersection(b)))
+        assert common.filter("k >= 10 AND k < 20").count() == 10 and common.count() < 200
+    strangers = spark.range(10_000, 20_000).withColumnRenamed("id", "k")
+    assert abs(strangers.filter(might_contain(strangers, "k", both)).count() / 10_000 - both.false_positive_rate()) < 0.02
+    a, b = BloomFilter(64, 2), BloomFilter(64, 1)
+    a.add_indices([3, 7])
+    b.add_indices([9])
+    assert a.union(b).test_indices([3]) and a.union(b).test_indices([9, 40]) and not a.union(b).test_indices([4, 7]) and a.union(b).false_positive_rate() == 3 / 64
+    with pytest.raises(ValueError):
+        a.test_indices([3])
+
+
 def test_bitset():
     b = BitSet(11)
     b.set(3)
