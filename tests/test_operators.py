@@ -100,6 +100,52 @@ def test_multi_group(groups):
     assert rows(custom) == want
 
 
+def test_multi_group_apply_goes_by_batches(spark):
+    """Many keys a batch and keys of many batches; what a frame holds is what its own rows have."""
+    big = 2**53 + 1
+    one = spark.createDataFrame([(1.0, big, True, "x"), (1.0, None, None, None), (2.0, big, False, "y"), (None, big, True, None), *[(5.0, i, True, "z") for i in range(10)]], "k double, n bigint, b boolean, s string")
+    two = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (2.0, 3), (-0.0, 4), (0.0, 5), (7.0, 0)], "j double, m int")
+
+    def buffer(key, parts):
+        a, b = parts
+        assert list(a.columns) == ["k", "n", "b", "s"] and list(b.columns) == ["j", "m"] and list(a.index) == list(range(len(a))) and len(key) == 1
+        kinds = f"{a['n'].dtype} {a['b'].dtype} {b['m'].dtype}"
+        n = int(a["n"].max()) if len(a) else None
+        out = pd.DataFrame({"size": [len(a), len(b)], "kinds": kinds, "n": [n, n]})[["n", "size", "kinds"]]
+        return out.iloc[:0] if key[0] == 7 else out
+
+    plain = "int64 bool int32"
+    want = [(-0.0, None, 0, plain), (-0.0, None, 2, plain), (1.0, 2**53, 0, "float64 object int32"), (1.0, 2**53, 2, "float64 object int32"), (2.0, big, 1, plain), (2.0, big, 1, plain)]
+    want += [(5.0, 9, 0, plain), (5.0, 9, 10, plain), (None, big, 0, plain), (None, big, 1, plain), (float("nan"), None, 0, plain), (float("nan"), None, 2, plain)]
+    try:
+        for most in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            out = multi_group_apply([one, two], ["k", "j"], buffer, "n bigint, size int, kinds string").select(F.col("k") + 0.0, "n", "size", "kinds")
+            assert repr(rows(out)) == repr(sorted(((k if k is None else k + 0.0, *r) for k, *r in want), key=repr))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        multi_group_apply([one, two], ["k", "j"], buffer, "k int")
+    assert multi_group_apply([one, two], ["k", "j"], lambda *_: pd.DataFrame(), "y int").count() == 0
+    with pytest.raises(Exception, match="a buffer returned the columns"):
+        multi_group_apply([one, two], ["k", "j"], lambda *_: pd.DataFrame({"x": [1]}), "y int").collect()
+
+
+def test_multi_group_apply_of_lists(spark):
+    """Lists, whose nulls pandas mixes within a batch, go key by key."""
+    one = spark.createDataFrame([(1, [1, 2]), (2, [3, None])], "k int, a array<int>")
+    out = multi_group_apply([one, one], ["k", "k"], lambda _, p: pd.DataFrame({"n": [sum(len(x) for x in p[0]["a"])], "kind": [str(p[0]["a"][0].dtype)]}), "n int, kind string")
+    assert rows(out) == [(1, 2, "int32"), (2, 2, "float64")]
+
+
+def test_multi_group_apply_key_types(spark):
+    one = spark.sql("SELECT * FROM VALUES (DATE'1600-01-01', 1.10BD, TIMESTAMP'2020-01-01 01:02:03.000004', X'00', true, 1S), (NULL, NULL, NULL, NULL, NULL, NULL) AS t(d, e, t, b, f, s)")
+    out = multi_group_apply([one, one.filter("f")], [one.columns] * 2, lambda key, p: pd.DataFrame({"n": [len(p[0]) + len(p[1])], "nulls": [sum(bool(pd.isna(x)) for x in key)]}), "n int, nulls int")
+    assert [f.dataType for f in out.schema][:6] == [f.dataType for f in one.schema]
+    assert rows(out) == rows(one.withColumn("n", F.expr("if(f, 2, 1)")).withColumn("nulls", F.expr("if(f, 0, 6)")))
+
+
 def test_combine_average(spark):
     df = spark.createDataFrame([("k0", 1), ("k0", 2), ("k1", 1), ("k1", 4), ("k1", 10)], "key string, value int")
     assert rows(combine(df, ["key"], [average("value")])) == [("k0", 3, 2, 1.5), ("k1", 15, 3, 5.0)]
