@@ -79,9 +79,9 @@ def multi_group_apply(
     columns; it returns the result columns of ``output``, and the key is put
     before them.  Rows are turned to pandas and back for many keys at once; a
     column's type in a frame follows from that frame's rows alone.  Inputs with
-    arrays, maps or structs go key by key, some thirty times the cost of a small
-    key.  A key's rows must fit in one task's memory: use :func:`multi_group`
-    for keys that may be hot.
+    arrays, maps or structs go key by key, at several times the cost.  A key's
+    rows must fit in one task's memory: use :func:`multi_group` for keys that
+    may be hot.
     """
     ks = [[k] if isinstance(k, str) else list(k) for k in keys]
     stacked, names, own = _tagged(frames, ks, key_names)
